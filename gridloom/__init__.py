@@ -1,0 +1 @@
+"""Spreadsheet-style analytics on Spark DataFrames."""
