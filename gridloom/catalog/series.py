@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import series as S
 from .base import EVENTS, events, query, rounded
 
 
+#: Added before rounding, so that means that lie on a half are rounded alike whatever order they were summed in.
+NUDGE = 0.0000003
+
+
 def _base(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", "val", "kind", "user_id", "bucket")
 
@@ -25,9 +31,9 @@ _RUNNING = {"sum": "coalesce(sum(val) over w, 0)", "count": "count(val) over w",
 for _op, _sql in _RUNNING.items():
 
     def _run(spark, sf_dir, op=_op):
-        return rounded(S.running(_base(spark, sf_dir).select("event_id", "val"), "val", op, order_by="event_id").select("event_id", "running"), 7)
+        return rounded(S.running(_base(spark, sf_dir).select("event_id", "val"), "val", op, order_by="event_id").select("event_id", F.col("running") if op == "count" else (F.col("running") + NUDGE).alias("running")), 5)
 
-    _value = _sql if _op == "count" else f"round({_sql}, 7)"
+    _value = _sql if _op == "count" else f"round({_sql} + {NUDGE}, 5)"
     query(f"select event_id, {_value} as running from {EVENTS} window w as (order by event_id rows unbounded preceding)", f"running_{_op}")(_run)
 
 
@@ -46,9 +52,9 @@ _MOVING = {"sum": "sum(val)", "average": "avg(val)", "min": "min(val)", "max": "
 for _op, _sql in _MOVING.items():
 
     def _run(spark, sf_dir, op=_op):
-        return rounded(S.moving(_base(spark, sf_dir).select("event_id", "val"), "val", 20, op, order_by="event_id", min_periods=5).select("event_id", "moving"), 3)
+        return rounded(S.moving(_base(spark, sf_dir).select("event_id", "val"), "val", 20, op, order_by="event_id", min_periods=5).select("event_id", F.col("moving") if op == "count" else (F.col("moving") + NUDGE).alias("moving")), 4)
 
-    _value = f"{_sql} over w" if _op == "count" else f"round({_sql} over w, 3)"
+    _value = f"{_sql} over w" if _op == "count" else f"round({_sql} over w + {NUDGE}, 4)"
     query(f"select event_id, case when count(val) over w >= 5 then {_value} end as moving from {EVENTS} window w as (order by event_id rows between 19 preceding and current row)", f"moving_{_op}")(_run)
 
 

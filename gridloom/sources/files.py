@@ -42,7 +42,7 @@ def check_quotes(spark: SparkSession, path: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, *, delimiter: str = ",", encoding: str = "UTF-8", header: bool = False, coerce_numeric: bool = True, schema: T.StructType | str | None = None, strict_quotes: bool = False, multiline: bool = True) -> DataFrame:
-    """Delimited text with quotes doubled inside quotes and cells over several lines; short rows are filled with blanks.
+    """Delimited text with quotes doubled inside quotes and cells over several lines (line ends inside quotes are read as LF); short rows are filled with blanks.
 
     With ``coerce_numeric`` columns of which every cell is a number or blank are numbers (one pass over the file; a ``schema``
     saves it). ``multiline=False`` lets Spark split large files that have no line ends inside quotes.
