@@ -134,7 +134,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of documents with the similarity of their texts, those of SIMILARITY or more."""
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
+    both = pairs.select("a", "b").join(one.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "text_a", "text_b")
     kind = pairs.schema["a"].dataType.simpleString()
     return both.mapInArrow(_similarity, f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= SIMILARITY).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
@@ -170,13 +170,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member = signed.select("doc_id", "digest", "weight").join(same, ["digest", "weight"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     member = materialize(member, "members")
 
-    # Buckets of one member are of no use; the rest are kept for all rounds.
     banded = signed.where("weight > 0").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    entries = materialize(banded.join(shared, "bucket"), "buckets")
-    popular = entries.groupBy("doc_id").agg(F.sum("size").alias("met"))
-    entries = materialize(entries.join(popular, "doc_id").select("bucket", "doc_id", "met"), "buckets")
-    texts = rows.join(entries.select("doc_id").distinct(), "doc_id", "left_semi")
+    banded = materialize(banded, "bands")
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("size"))
+    popular = materialize(banded.join(sizes, "bucket").groupBy("doc_id").agg(F.sum("size").alias("met"), F.max("size").alias("most")), "popular")
+    entries = materialize(banded.join(popular, "doc_id").select("bucket", "doc_id", "met"), "buckets")
+    # Texts of documents that share a bucket, shuffled once; a merge join at every size, so that disk grows as the input does.
+    texts = materialize(rows.join(popular.where("most > 1").select("doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
 
     centres = entries.groupBy("bucket").agg(F.max(F.struct("met", -F.col("doc_id"))).getField("col2").alias("minus"), F.min("doc_id").alias("low"))
     near = entries.join(centres, "bucket")
