@@ -27,18 +27,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import PLAIN, U, hash_words, mixed, rolling, row_of, slots, spans, split_words, text_bytes
+from .shared import PLAIN, U, hash_words, mixed, rolling, row_of, spans, split_words, text_bytes
 
 K = 13
 #: Text in a chunk; beyond 4096 chunks chunks grow with the square root of the corpus, and so does their number.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Stands for a missing doc_id while chunks are made.
 NO_ID = -(1 << 63)
 
 
-def chunk_count(total_bytes: int, partitions: int) -> int:
+def chunk_count(total_bytes: int) -> int:
+    """Chunks by the size of the corpus alone: every chunk sends one entry to every bucket, so there are no more of them than memory asks for."""
     by_size = -(-total_bytes // CHUNK_BYTES)
-    return max(1, 3 * partitions, by_size if by_size <= 4096 else int(4096 * (by_size / 4096) ** 0.5))
+    return max(1, by_size if by_size <= 4096 else int(4096 * (by_size / 4096) ** 0.5))
 
 
 def _deal(bounds: np.ndarray):
@@ -182,10 +183,9 @@ def remove_repeats(docs: DataFrame, k: int = K) -> DataFrame:
 
     ``doc_id`` is an integer; a null one counts as the smallest. Texts are shuffled once, compressed; hashes of all edges once.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = chunk_count(total, slots(spark))
+    chunks = chunk_count(total)
     # Positions where chunks begin: as many numbers as there are chunks.
     found = rows.agg(F.percentile_approx("doc_id", [i / chunks for i in range(1, chunks)], max(10_000, 20 * chunks))).first()[0] if chunks > 1 else []
     bounds = np.unique(np.array(found or [], np.int64))
