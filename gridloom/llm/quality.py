@@ -3,8 +3,8 @@
 Two zstandard dictionaries are trained on samples of labelled documents. Every text is
 cut into blocks, all of them compressed with both; the difference of the compressed
 sizes is normalised by the size of the text (not by the compressed sizes, which are
-next to nothing for text that repeats itself), and a logistic curve fitted on labelled
-documents that were not used for the dictionaries turns it into a probability.
+next to nothing for text that repeats itself). An isotonic fit on labelled documents
+that were not used for the dictionaries turns it into a probability.
 
 Fitting uses at most SAMPLE labelled documents of each class, those with the smallest
 hash of doc_id, and of each at most SAMPLE_BYTES, spread over the document; scoring uses
@@ -78,6 +78,25 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
+def _steps(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[list[float], list[float]]:
+    """Isotonic regression by pooling adjacent violators: mean x and share of y of each pool, rising in both."""
+    pools: list[list[float]] = []
+    for i in np.argsort(x, kind="stable"):
+        pools.append([w[i] * x[i], w[i] * y[i], w[i]])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    return [a / n for a, _, n in pools], [(b + 0.5) / (n + 1) for _, b, n in pools]
+
+
+def probability(model: dict, x: np.ndarray) -> np.ndarray:
+    """The steps of the isotonic fit, joined by lines; a twentieth of the logistic curve keeps the order within a step."""
+    if "good" not in model:
+        return np.full(len(x), model["share"])
+    smooth = 1 / (1 + np.exp(-np.clip(model["slope"] * x + model["level"], -500, 500)))
+    return 0.95 * np.interp(x, *model["steps"]) + 0.05 * smooth
+
+
 def _spread(text: bytes) -> bytes:
     """At most SAMPLE_BYTES of a document: whole if it is short, else blocks from all over it."""
     if len(text) <= SAMPLE_BYTES:
@@ -86,19 +105,24 @@ def _spread(text: bytes) -> bytes:
     return b"".join(parts[i * len(parts) // (SAMPLE_BYTES // BLOCK)] for i in range(SAMPLE_BYTES // BLOCK))
 
 
-def fit(labelled: DataFrame) -> dict:
-    """A model from rows of doc_id, text and quality (0 or 1): two dictionaries and a curve. At most 2 * SAMPLE rows reach the driver."""
-    texts: dict[int, list[bytes]] = {}
-    for label in (0, 1):
-        rows = labelled.where(F.col("quality") == label).select(F.xxhash64("doc_id").alias("h"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("text"))
+def _cut(batches):
+    for batch in batches:
+        for part in spans(batch, "text"):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_spread(x) for x in part.column(2).to_pylist()], pa.binary())], names=["quality", "h", "text"])
+
 
-        def cut(batches):
-            for batch in batches:
-                for part in spans(batch, "text"):
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_spread(x) for x in part.column(1).to_pylist()], pa.binary())], names=["h", "text"])
+def fit(documents: DataFrame, labels: DataFrame) -> dict:
+    """A model from texts by doc_id and quality (0 or 1) by doc_id: two dictionaries and a curve.
 
-        chosen = rows.orderBy("h").limit(SAMPLE).mapInArrow(cut, "h long, text binary")
-        texts[label] = [bytes(r[1]) for r in chosen.orderBy("h").collect()]
+    The labels choose the sample, at most 2 * SAMPLE ids, before any text is touched; these are broadcast, and their texts reach the driver.
+    """
+    known = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("h"))
+    first, second = (known.where(F.col("quality") == label).orderBy("h", "doc_id").limit(SAMPLE) for label in (0, 1))
+    rows = documents.select("doc_id", F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("text"))
+    sample = rows.join(F.broadcast(first.union(second)), "doc_id").select("quality", "h", "text").mapInArrow(_cut, "quality int, h long, text binary")
+    texts: dict[int, list[bytes]] = {0: [], 1: []}
+    for label, _, text in sorted((r[0], r[1], bytes(r[2])) for r in sample.collect()):
+        texts[label].append(text)
     if not texts[0] or not texts[1]:
         return {"share": 1.0 if texts[1] else 0.0 if texts[0] else 0.5}
     halves = {k: (v[::2], v[1::2] or v) for k, v in texts.items()}
@@ -107,10 +131,11 @@ def fit(labelled: DataFrame) -> dict:
     x = np.array([measure(t) for k in (0, 1) for t in halves[k][1]])
     y = np.array([k for k in (0, 1) for _ in halves[k][1]], float)
     # Both classes are sampled alike up to SAMPLE; beyond, the curve is moved back to the labels' own balance.
-    counts = {r[0]: r[1] for r in labelled.where(F.col("quality").isin(0, 1)).groupBy("quality").count().collect()}
+    counts = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
     slope, level = _curve(x, y)
     level += np.log(counts[1] / counts[0]) - np.log(len(halves[1][1]) / len(halves[0][1]))
-    return {"good": good, "bad": bad, "slope": slope, "level": float(level)}
+    weight = np.where(y == 1, counts[1] / max(1, len(halves[1][1])), counts[0] / max(1, len(halves[0][1])))
+    return {"good": good, "bad": bad, "slope": slope, "level": float(level), "steps": _steps(x, y, weight * len(y) / weight.sum())}
 
 
 def score(documents: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
@@ -121,12 +146,9 @@ def score(documents: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
         measure = Compressor(model["good"], model["bad"]).difference if "good" in model else None
         for batch in batches:
             for part in spans(batch, "text"):
-                if measure is None:
-                    x = np.zeros(part.num_rows)
-                    p = np.full(part.num_rows, model["share"])
-                else:
-                    x = np.array([measure((t or "").encode()) for t in part.column("text").to_pylist()])
-                    p = 1 / (1 + np.exp(-(model["slope"] * x + model["level"])))
+                texts = part.column("text").to_pylist()
+                x = np.array([measure((t or "").encode()) if measure else 0.0 for t in texts])
+                p = probability(model, x)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x), pa.array(p)], names=[key, "difference", "score"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("difference", T.DoubleType()), T.StructField("score", T.DoubleType())]))

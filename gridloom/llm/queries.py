@@ -49,8 +49,7 @@ def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, fitted on labels that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    known = docs.select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id").where(~langid.held_out())
-    out = quality.score(docs, quality.fit(known))
+    out = quality.score(docs, quality.fit(docs, labels.where(~langid.held_out())))
     return out.select("doc_id", F.coalesce(langid.held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
