@@ -29,10 +29,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import spans, tokenizer_path
+from .shared import mixed, spans, tokenizer_path
 
 #: Entries kept in each of the two generations of a worker's word cache.
-KEPT = 250_000
+KEPT = 600_000
+#: Bytes of text that are encoded together: the more, the fewer steps for new words.
+SPAN = 8 << 20
 
 
 class MergeAutomaton:
@@ -110,6 +112,99 @@ class MergeAutomaton:
         return ids[::-1]
 
 
+class WordTable:
+    """The automaton's tables as arrays, by which many words are encoded in step.
+
+    Labels are found by a hash of their bytes; whether an arc is there is kept in a direct-mapped table, and asked of the
+    automaton where it isn't known yet.
+    """
+
+    #: Entries of the arc table; words of more bytes are encoded one by one.
+    ARCS, LONGEST = 1 << 20, 48
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, automaton: MergeAutomaton, alphabet: list[str]):
+        self.automaton = automaton
+        byte = {c: b for b, c in enumerate(alphabet)}
+        powers = [pow(self.BASE, i, 1 << 64) for i in range(self.LONGEST)]
+        self.up = np.array(powers, np.uint64)
+        self.down = np.array([pow(p, -1, 1 << 64) for p in powers], np.uint64)
+        keys, ids, longest = [], [], 1
+        for text, token in automaton.labels.items():
+            for stem, last in ((text, False), (text[: -len(automaton.suffix)], True)) if automaton.suffix and text.endswith(automaton.suffix) else ((text, False),):
+                if 0 < len(stem) <= self.LONGEST and all(c in byte for c in stem) and (automaton.rank[token] >= 0 or len(stem) == 1):
+                    raw = sum((byte[c] + 1) * p for c, p in zip(stem, powers))
+                    keys.append((raw ^ (0xA5A5A5A5A5A5A5A5 if last else 0)) & (1 << 64) - 1)
+                    ids.append(token)
+                    longest = max(longest, len(stem))
+        hashes = mixed(np.array(keys, np.uint64))
+        order = np.argsort(hashes)
+        self.longest = longest
+        self.keys, self.ids = hashes[order], np.array(ids, np.int64)[order]
+        self.first = np.searchsorted(self.keys, np.arange((1 << 17) + 1, dtype=np.uint64) << np.uint64(47), "left") if len(keys) else np.zeros((1 << 17) + 1, np.int64)
+        self.first[-1] = len(self.keys)
+        self.depth = int(np.diff(self.first).max(initial=0))
+        self.keys, self.ids = np.append(self.keys, np.zeros(self.depth + 1, np.uint64)), np.append(self.ids, np.full(self.depth + 1, -1))
+        self.arc_keys, self.arc_open = np.full(self.ARCS, -1, np.int64), np.zeros(self.ARCS, bool)
+
+    def find(self, raw: np.ndarray, last: bool) -> np.ndarray:
+        """Token ids of stretches by their raw hashes, -1 where there is none."""
+        h = mixed(raw ^ np.uint64(0xA5A5A5A5A5A5A5A5)) if last else mixed(raw)
+        at = self.first[(h >> np.uint64(47)).astype(np.int64)]
+        out = np.full(len(h), -1)
+        for step in range(self.depth):
+            hit = self.keys[at + step] == h
+            out[hit] = self.ids[at[hit] + step]
+        return out
+
+    def open(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which tokens y may follow the tokens x."""
+        key = (x << 32) | y
+        place = (mixed(key.astype(np.uint64)) & np.uint64(self.ARCS - 1)).astype(np.int64)
+        for new in np.unique(key[self.arc_keys[place] != key]).tolist():
+            i = int(mixed(np.array([new], np.uint64))[0]) & self.ARCS - 1
+            self.arc_keys[i], self.arc_open[i] = new, self.automaton._open(new >> 32, new & 0xFFFFFFFF, len(self.automaton.rank))
+        out = self.arc_open[place]
+        for i in np.flatnonzero(self.arc_keys[place] != key).tolist():  # two new arcs at one place
+            out[i] = self.automaton.follows(int(x[i]), int(y[i]))
+        return out
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of every word, as little-endian 32-bit integers. All words have the same length, LONGEST at most."""
+        n, m = len(words[0]), len(words)
+        block = np.frombuffer(b"".join(words), np.uint8).reshape(m, n).astype(np.uint64)
+        sums = np.zeros((n + 1, m), np.uint64)
+        np.cumsum(((block + np.uint64(1)) * self.up[:n]).T, axis=0, out=sums[1:])
+        last, start = np.full((n + 1, m), -1), np.zeros((n + 1, m), np.int16)
+        marked = bool(self.automaton.suffix)
+        last[n] = self.find(sums[n], marked)
+        open_ = np.flatnonzero(last[n] < 0)
+        for end in range(1, n + 1):
+            left = open_
+            for at in range(max(0, end - self.longest), end):
+                if not len(left):
+                    break
+                token = self.find((sums[end, left] - sums[at, left]) * self.down[at], marked and end == n)
+                good = np.flatnonzero(token >= 0)
+                if at and len(good):
+                    good = good[self.open(last[at, left[good]], token[good])]
+                if len(good):
+                    last[end, left[good]], start[end, left[good]] = token[good], at
+                    keep = np.ones(len(left), bool)
+                    keep[good] = False
+                    left = left[keep]
+            if len(left):
+                raise ValueError(f"the vocabulary has no token for a part of {words[int(left[0])]!r}")
+        at, rows, columns = np.full(m, n), np.arange(m), []
+        while at.any():
+            columns.append(np.where(at > 0, last[at, rows], -1))
+            at = np.where(at > 0, start[at, rows], 0)
+        table = np.stack(columns[::-1], 1)
+        there = table >= 0
+        flat, cuts = table[there].astype("<u4").tobytes(), np.append(0, np.cumsum(there.sum(1) * 4)).tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte: itself where Latin-1 has a visible one, else the next from 256 on."""
     visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -117,24 +212,6 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
-class Generations(dict):
-    """A cache of two generations: what was not asked for lately is dropped as a whole."""
-
-    def __init__(self, make, size: int = KEPT):
-        super().__init__()
-        self.make, self.size, self.old = make, size, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class WordTokenizer:
     """A word-end BPE tokenizer read from a tokenizers JSON file: NFC, one space for white space, lower case, pre-split words, byte alphabet."""
 
@@ -145,36 +222,66 @@ class WordTokenizer:
         vocab = model["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = MergeAutomaton(vocab, merges, model["end_of_word_suffix"] or "")
+        self.alphabet = byte_alphabet()
+        self.table = WordTable(self.automaton, self.alphabet)
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(split).findall
-        self.alphabet = byte_alphabet()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.names = [""] * size
         for text, i in [*vocab.items(), *self.special.items()]:
             self.names[i] = text
-        self.words = Generations(self._word)
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a stretch without white space, as little-endian 32-bit integers."""
-        ids: list[int] = []
-        for piece in [word] if word.isalpha() else self.pieces(word):
-            ids += self.automaton.encode(piece if piece.isascii() and piece.isprintable() else "".join(self.alphabet[b] for b in piece.encode()))
-        return struct.pack(f"<{len(ids)}I", *ids)
+        #: Ids of stretches without white space, in two generations: what was not asked for lately is dropped as a whole.
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def _pieces(self, word: str) -> list[bytes]:
+        return [word.encode()] if word.isalpha() else [p.encode() for p in self.pieces(word)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Puts the ids of all ``words`` into the cache."""
+        if len(self.known) >= KEPT:
+            self.before, self.known = self.known, {}
+        new = []
+        for w in words.difference(self.known):
+            old = self.before.get(w)
+            if old is None:
+                new.append(w)
+            else:
+                self.known[w] = old
+        split = [self._pieces(w) for w in new]
+        by_length: dict[int, list[bytes]] = {}
+        for piece in {p for parts in split for p in parts}:
+            by_length.setdefault(len(piece), []).append(piece)
+        ids: dict[bytes, bytes] = {}
+        for n, group in by_length.items():
+            if n <= WordTable.LONGEST:
+                ids.update(zip(group, self.table.encode(group)))
+            else:
+                ids.update((p, np.array(self.automaton.encode("".join(self.alphabet[b] for b in p)), "<u4").tobytes()) for p in group)
+        for w, parts in zip(new, split):
+            self.known[w] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts])
 
-    def _plain(self, text: str) -> bytes:
+    @staticmethod
+    def _words(text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
-        if _ODD_SPACE.search(text):
-            return b"".join(map(self.words.__getitem__, filter(None, _WHITE.split(text))))
-        return b"".join(map(self.words.__getitem__, text.split()))
+        return [w for w in _WHITE.split(text) if w] if any(c in text for c in _ODD_SPACE) else text.split()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text, as little-endian 32-bit integers."""
+        cut = []
+        for text in texts:
+            parts = self.cut.split(text) if self.cut is not None and "<|" in text else [text]
+            cut.append([x if x in self.special else self._words(x) for x in parts])
+        self._learn(set().union(*[x for parts in cut for x in parts if isinstance(x, list)]))
+        find = self.known.__getitem__
+        return [b"".join([struct.pack("<I", self.special[x]) if isinstance(x, str) else b"".join(map(find, x)) for x in parts]) for parts in cut]
 
     def encode(self, text: str) -> bytes:
-        if self.cut is None or "<" not in text or not (parts := self.cut.split(text))[1:]:
-            return self._plain(text)
-        return b"".join(np.array([self.special[x]], "<u4").tobytes() if x in self.special else self._plain(x) for x in parts)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """The labels of the arcs that the ids follow, with a space between them, special tokens included."""
@@ -182,7 +289,7 @@ class WordTokenizer:
 
 
 #: Controls that Python's split() takes for white space and the tokenizer doesn't.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_ODD_SPACE = "\x1c\x1d\x1e\x1f"
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
@@ -206,8 +313,8 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     def encode(batches):
         own = tokenizer(path)
         for batch in batches:
-            for part in spans(batch, "text"):
-                ids = [own.encode(x or "") for x in part.column("text").to_pylist()]
+            for part in spans(batch, "text", SPAN):
+                ids = own.encode_all([x or "" for x in part.column("text").to_pylist()])
                 columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 names = [key, "n_tokens", "ids"]
                 if decoded:
