@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.cache import DiskCache, Memo
 from ..sources import files as S
+from ..streaming.feeds import changes_only, feed, watch_file, watch_folder
 from .base import query, rounded, table
 
 
@@ -96,18 +97,83 @@ def streamed_counts(spark, sf_dir):
     return spark.table(name)
 
 
-@query()
-def live_counter(spark, sf_dir):
-    """The first values of a counter feed."""
-    from ..streaming.feeds import feed
-
-    name = f"counter_{uuid.uuid4().hex}"
-    run = feed(spark, "counter:200").writeStream.format("memory").queryName(name).trigger(processingTime="200 milliseconds").start()
+def _first_values(spark, stream, n: int, order):
+    """The first rows of a stream, from a memory sink; the stream is stopped then."""
+    name = f"live_{uuid.uuid4().hex}"
+    run = stream.writeStream.format("memory").queryName(name).trigger(processingTime="200 milliseconds").start()
     try:
         for _ in range(50):
-            run.awaitTermination(0.4)
-            if spark.table(name).count() >= 3:
+            run.awaitTermination(0.3)
+            if spark.table(name).count() >= n:
                 break
     finally:
         run.stop()
-    return spark.table(name).select("topic", "value").orderBy(F.col("value").cast("bigint")).limit(3)
+    return spark.table(name).orderBy(order).limit(n)
+
+
+def _live(topic: str):
+    def run(spark, sf_dir):
+        return _first_values(spark, feed(spark, topic), 3, "timestamp").select("topic", "value")
+
+    return run
+
+
+for _topic in ("clock", "counter:200", "sine:0.5:2", "random"):
+    query(name=f"live_{_topic.split(':')[0]}")(_live(_topic))
+
+
+@query("select topic, value, n from (values ('a', 'x', 1), ('a', 'y', 3), ('b', 'x', 1)) t(topic, value, n)")
+def live_changes_only(spark, sf_dir):
+    """Values of topics that differ from the one before, by kept state; the repeats in between are left out."""
+    path = _place(spark, "ticks")
+    rows = [("a", 1, "x"), ("a", 2, "x"), ("a", 3, "y"), ("b", 1, "x")]
+    spark.createDataFrame(rows, "topic string, n int, value string").coalesce(1).write.parquet(path)
+    stream = changes_only(spark.readStream.schema("topic string, n int, value string").parquet(path), at="n")
+    name = f"changes_{uuid.uuid4().hex}"
+    run = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", _place(spark, "stream")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select("topic", "value", "n")
+
+
+def _watched(watch, folder: bool):
+    def run(spark, sf_dir):
+        place = tempfile.mkdtemp(prefix="gridloom-watch-")  # watches are of the driver's own file system
+        target = place if folder else f"{place}/file"
+        stream, name = watch(spark, target), f"watch_{uuid.uuid4().hex}"
+        run = stream.writeStream.format("memory").queryName(name).start()
+        try:
+            run.processAllAvailable()
+            with open(f"{place}/file", "w") as file:
+                file.write("x")
+            for _ in range(50):
+                run.processAllAvailable()
+                if spark.table(name).count():
+                    break
+                run.awaitTermination(0.2)
+        finally:
+            run.stop()
+        return spark.table(name).select("change", "kind")
+
+    return run
+
+
+query("select 1::bigint as change, 'created' as kind", "watch_file")(_watched(watch_file, False))
+query("select 1::bigint as change, 'created' as kind", "watch_folder")(_watched(watch_folder, True))
+
+
+@query("select 1 as removed, 1 as rest, 0 as missing")
+def cache_clear(spark, sf_dir):
+    memo = Memo()
+    for key in ("a", "b"):
+        memo.memoize(key, table(spark, sf_dir, "region"))
+    removed, missing = memo.clear("a"), memo.clear("a")
+    return spark.createDataFrame([(removed, memo.clear(), missing)], "removed int, rest int, missing int")
+
+
+@query("select 1 as removed, 1 as rest, true as missing")
+def disk_cache_clear(spark, sf_dir):
+    cache = DiskCache(spark, _place(spark, "cache"))
+    for key in ("a", "b"):
+        cache.write(key, table(spark, sf_dir, "region"))
+    removed = cache.clear("a")
+    return spark.createDataFrame([(removed, cache.clear(), cache.read("b") is None)], "removed int, rest int, missing boolean")
