@@ -57,7 +57,7 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
 
 
 def with_next(df: DataFrame, order: list[str], carry: list[str]) -> DataFrame:
-    """Adds ``next`` (a struct of ``carry``) from the row that follows by ``order``; the first of these is an integer.
+    """Adds ``next_<c>`` for the columns in ``carry`` from the row that follows by ``order``; the first of these is an integer.
 
     Rows are dealt to ranges of nearly equal counts of that column; the last row of a range gets the first one of the next range by a join
     of one row a range. No task sees more than a range.
@@ -75,15 +75,19 @@ def with_next(df: DataFrame, order: list[str], carry: list[str]) -> DataFrame:
     longs = lambda values: F.lit(values) if values else F.array().cast("array<bigint>")
     table = F.array(*[longs([int(x) for x in g]) for g in groups]) if groups else None
     dealt = df.withColumn("_group", lower(longs([int(x) for x in coarse]).cast("array<bigint>")))
-    dealt = dealt.withColumn("_range", (F.col("_group") * step + F.coalesce(lower(F.get(table, F.col("_group"))), F.lit(0))) if table is not None else F.lit(0)).drop("_group")
+    place = F.col("_group") * step + F.coalesce(lower(F.get(table, F.col("_group"))), F.lit(0)) if table is not None else F.lit(0)
+    # Never null, and no row limit pushed below it: so the three uses of the dealt rows share one exchange.
+    dealt = dealt.withColumn("_range", F.coalesce(place, F.lit(0))).drop("_group")
     by = Window.partitionBy("_range").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    led = dealt.withColumn("next", F.lead(F.struct(*carry)).over(by)).withColumn("_at", F.row_number().over(by))
-    first = led.where("_at = 1").select("_range", F.struct(*carry).alias("_first"))
+    # Plain columns are led, not a struct of them, which would be shuffled beside the columns.
+    led = dealt.select("*", *[F.lead(c).over(by).alias(f"next_{c}") for c in carry], F.lag(F.lit(1)).over(by).alias("_head"), F.lead(F.lit(1)).over(by).alias("_tail"))
+    first = led.where("_head is null").select("_range", *[F.col(c).alias(f"_first_{c}") for c in carry])
     turn = Window.orderBy("_range")  # one row a range
     heads = dealt.groupBy("_range").agg(F.lit(1).alias("one")).withColumn("_before", F.coalesce(F.lag("_range").over(turn), F.max("_range").over(Window.partitionBy(F.lit(1)))))
-    follow = first.join(heads, "_range").select(F.col("_before").alias("_range"), "_first")
-    inner = led.where("next is not null").drop("_range", "_at")
-    last = led.where("next is null").join(follow, "_range").withColumn("next", F.col("_first")).drop("_range", "_at", "_first")
+    follow = first.join(heads, "_range").select(F.col("_before").alias("_range"), *[f"_first_{c}" for c in carry])
+    columns = [*df.columns, *[f"next_{c}" for c in carry]]
+    inner = led.where("_tail is not null").select(columns)
+    last = led.where("_tail is null").join(follow, "_range").withColumns({f"next_{c}": F.col(f"_first_{c}") for c in carry}).select(columns)
     return inner.unionByName(last)
 
 
@@ -94,7 +98,7 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     paired = with_next(own, ["doc_id", "text"], ["text", "own"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    edited = paired.select("doc_id", n.cast("bigint").alias("n_chars"), "own", F.col("next.own").alias("following"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next.text", F.lit(1), half)).alias("edited"))
+    edited = paired.select("doc_id", n.cast("bigint").alias("n_chars"), "own", F.col("next_own").alias("following"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
     return fingerprinted(edited, "edited", "changed").select(
         "doc_id", "n_chars", "edited", F.col("own").alias("fingerprint"), F.col("changed").alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next")
     )
