@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.coerce import col, dtype, filled, group_key, numeric, to_text
 from ..plans import ranges
-from ..plans.criteria import compile_criterion, predicate
+from ..plans.criteria import compile_criterion, matching, predicate
 
 Criteria = Sequence[tuple[str, object]]
 
@@ -29,6 +29,10 @@ def _value(df: DataFrame, name: str, criteria: Criteria = ()) -> Column:
     return F.when(predicate(df, criteria), numeric(col(name), dtype(df, name)))
 
 
+def _number(df: DataFrame, name: str) -> Column:
+    return numeric(col(name), dtype(df, name))
+
+
 def _geomean(x: Column) -> Column:
     return F.when(F.min(x) > 0, F.exp(F.avg(F.when(x > 0, F.ln(x)))))
 
@@ -74,7 +78,7 @@ def aggregate_ifs(df: DataFrame, requests: Sequence[tuple[str, str, str, Criteri
 
 def _one(op: str):
     def run(df: DataFrame, values: str, criteria: Criteria = ()) -> DataFrame:
-        return aggregate_ifs(df, [("result", op, values, criteria)])
+        return matching(df, criteria).agg(SIMPLE[op](_number(df, values)).alias("result"))
 
     run.__name__ = f"{op}_ifs"
     run.__doc__ = f"The {op} of the numbers in matching rows."
@@ -88,7 +92,7 @@ product_ifs, geomean_ifs, harmean_ifs = map(_one, ("product", "geomean", "harmea
 
 def count_ifs(df: DataFrame, criteria: Criteria) -> DataFrame:
     """How many rows match."""
-    return aggregate_ifs(df, [("result", "count", "", criteria)])
+    return matching(df, criteria).agg(F.count("*").alias("result"))
 
 
 def exact_percentiles(df: DataFrame, value: Column, probabilities: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
@@ -117,7 +121,7 @@ def exact_percentiles(df: DataFrame, value: Column, probabilities: Sequence[floa
 
 def percentile_ifs(df: DataFrame, values: str, k: float, criteria: Criteria = ()) -> DataFrame:
     """The inclusive k-th percentile of matching numbers; null outside 0..1 and without a match."""
-    return exact_percentiles(df, _value(df, values, criteria), [k]).select(F.col("p0").alias("result"))
+    return exact_percentiles(matching(df, criteria), _number(df, values), [k]).select(F.col("p0").alias("result"))
 
 
 def median_ifs(df: DataFrame, values: str, criteria: Criteria = ()) -> DataFrame:
@@ -127,21 +131,21 @@ def median_ifs(df: DataFrame, values: str, criteria: Criteria = ()) -> DataFrame
 
 def mode_ifs(df: DataFrame, values: str, criteria: Criteria = (), *, order_by: str) -> DataFrame:
     """The most frequent matching number, the first seen among equals; null if none repeats."""
-    counts = df.select(_value(df, values, criteria).alias("x"), col(order_by).alias("o")).where("x is not null").groupBy("x").agg(F.count("*").alias("n"), F.min("o").alias("o"))
+    counts = matching(df, criteria).select(_number(df, values).alias("x"), col(order_by).alias("o")).where("x is not null").groupBy("x").agg(F.count("*").alias("n"), F.min("o").alias("o"))
     return counts.where("n > 1").agg(F.min_by("x", F.struct(-F.col("n"), F.col("o"))).alias("result"))
 
 
 def distinct_count_ifs(df: DataFrame, values: str, criteria: Criteria = (), *, approximate: bool = False) -> DataFrame:
     """How many different non-blank cells match, text without regard to case."""
     kind = dtype(df, values)
-    key = F.when(predicate(df, criteria), group_key(filled(col(values), kind), kind))
+    key = group_key(filled(col(values), kind), kind)
     key = F.nullif(key, F.lit("")) if isinstance(kind, T.StringType) else key
-    return df.agg((F.approx_count_distinct(key) if approximate else F.count_distinct(key)).alias("result"))
+    return matching(df, criteria).agg((F.approx_count_distinct(key) if approximate else F.count_distinct(key)).alias("result"))
 
 
 def _edge(df: DataFrame, values: str, criteria: Criteria, order_by: str, pick) -> DataFrame:
     value = filled(col(values), dtype(df, values))
-    return df.agg(pick(value, F.when(predicate(df, criteria) & value.isNotNull(), col(order_by))).alias("result"))
+    return matching(df, criteria).where(value.isNotNull()).agg(pick(value, col(order_by)).alias("result"))
 
 
 def first_ifs(df: DataFrame, values: str, criteria: Criteria = (), *, order_by: str) -> DataFrame:
@@ -160,21 +164,21 @@ def text_join_ifs(df: DataFrame, text: str, delimiter: str, criteria: Criteria =
     Its result is one cell that holds all matching text; ranges of the order are joined first, then the ranges.
     """
     kind = dtype(df, text)
-    rows = ranges.deal(df.where(predicate(df, criteria)).select(to_text(filled(col(text), kind), kind).alias("t"), col(order_by).alias("o")).where("t is not null"), "o")
+    rows = ranges.deal(matching(df, criteria).select(to_text(filled(col(text), kind), kind).alias("t"), col(order_by).alias("o")).where("t is not null"), "o")
     part = rows.groupBy(ranges.RANGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda x: x["t"]), delimiter).alias("t"))
     return part.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ranges.RANGE, "t"))), lambda x: x["t"]), delimiter).alias("result"))
 
 
 def sum_product_ifs(df: DataFrame, a: str, b: str, criteria: Criteria = ()) -> DataFrame:
     """The sum of products in matching rows where both are numbers."""
-    product = _value(df, a, criteria) * numeric(col(b), dtype(df, b))
-    return df.agg(_zero(F.sum(product)).alias("result"))
+    product = _number(df, a) * _number(df, b)
+    return matching(df, criteria).agg(_zero(F.sum(product)).alias("result"))
 
 
 def weighted_average(df: DataFrame, values: str, weights: str, criteria: Criteria = ()) -> DataFrame:
     """Sum of weight times value over sum of weights, where both are numbers; null if the weights sum to 0."""
-    x, w = _value(df, values, criteria), numeric(col(weights), dtype(df, weights))
-    return df.agg(F.try_divide(F.sum(x * w), F.sum(F.when(x.isNotNull(), w))).alias("result"))
+    x, w = _number(df, values), _number(df, weights)
+    return matching(df, criteria).agg(F.try_divide(F.sum(x * w), F.sum(F.when(x.isNotNull(), w))).alias("result"))
 
 
 def weighted_average_ifs(df: DataFrame, values: str, weights: str, criteria: Criteria) -> DataFrame:

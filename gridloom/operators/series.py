@@ -1,7 +1,7 @@
 """Running, moving and ranking operators over an order.
 
-Every operator takes ``order_by`` and, where the reference result is one whole series, an
-optional ``partition_by`` for many series. Without partitions rows are dealt to ranges of
+Every operator takes ``order_by``, and an optional ``partition_by`` where there are many
+series instead of one. Without partitions rows are dealt to ranges of
 the order key; windows run within a range, and a table of one row a range carries what
 comes before, so a long series is not one task.
 """

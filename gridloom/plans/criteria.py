@@ -106,8 +106,8 @@ def _serial_number(moment: dt.datetime) -> float:
     return since.days + EPOCH_DAYS + since.seconds / 86_400
 
 
-def compile_criterion(criterion, c: Column, kind: T.DataType) -> Column:
-    """A predicate that is true or false, never null."""
+def compile_criterion(criterion, c: Column, kind: T.DataType, bare: bool = False) -> Column:
+    """A predicate that is true or false, never null; ``bare`` ones may be null for false, which is as good in a filter and can be pushed to the scan."""
     k = parse(criterion)
     unlike = F.lit(k.op == "<>")
     if k.kind == "blank":
@@ -137,15 +137,20 @@ def compile_criterion(criterion, c: Column, kind: T.DataType) -> Column:
             match = match | (c == "")
     else:
         match = _compare(F.upper(c), k.op, F.upper(F.lit(k.value))) & (c != "")
-    return F.coalesce(match, unlike)
+    return match if bare and k.op != "<>" else F.coalesce(match, unlike)
 
 
-def predicate(df: DataFrame, criteria) -> Column:
+def predicate(df: DataFrame, criteria, bare: bool = False) -> Column:
     """All of the (column, criterion) pairs; true for no pair."""
     parts = []
     for pair in criteria:
         if not isinstance(pair, (tuple, list)) or len(pair) != 2:
             raise ValueError(f"criteria are pairs of a column and a criterion, not {pair!r}")
         name, criterion = pair
-        parts.append(compile_criterion(criterion, col(name), dtype(df, name)))
-    return reduce(lambda a, b: a & b, parts, F.lit(True))
+        parts.append(compile_criterion(criterion, col(name), dtype(df, name), bare))
+    return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
+
+
+def matching(df: DataFrame, criteria) -> DataFrame:
+    """The rows that meet all criteria, by a filter that reaches the scan."""
+    return df.where(predicate(df, criteria, bare=True)) if criteria else df
