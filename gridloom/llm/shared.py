@@ -8,9 +8,12 @@ a polynomial give every word's 64-bit hash, and no Python object is made per wor
 from __future__ import annotations
 
 import atexit
+import gc
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 #: Bytes that are hashed at once; longer inputs are hashed piece by piece.
 PIECE = 1 << 21
+#: Bytes of an Arrow batch that goes to a Python worker, about.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -159,17 +164,51 @@ def row_of(bounds: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
 
-def spans(batch: pa.RecordBatch, column: str, most: int = PIECE):
-    """Slices of a batch with about ``most`` bytes of text each, one row at least."""
-    if not batch.num_rows:
-        return
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends = np.cumsum(sizes)
-    at = 0
-    while at < batch.num_rows:
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-        yield batch.slice(at, stop - at)
-        at = stop
+#: What operators keep in a Python worker between tasks: a name, and how to let go of it.
+KEEPERS: dict[str, Callable[[], None]] = {}
+
+
+def release(keeper: str | None = None) -> None:
+    """Workers are used by one operator after the other: lets go of what all but ``keeper`` have kept."""
+    for name in [n for n in KEEPERS if n != keeper]:
+        KEEPERS.pop(name)()
+        gc.collect()
+
+
+def spans(batches, column: str, most: int = PIECE, keeper: str | None = None):
+    """The rows of Arrow batches, dealt anew: parts with about ``most`` bytes in a text column, one row at least."""
+    release(keeper)
+    waiting, held = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = int(np.searchsorted(ends, before + most - held, "right"))
+            if stop == batch.num_rows and held + int(ends[-1]) - before < most:
+                waiting.append(batch.slice(at))
+                held += int(ends[-1]) - before
+                break
+            stop = max(stop, at + (not waiting))
+            if stop > at:
+                waiting.append(batch.slice(at, stop - at))
+            yield _one(waiting)
+            waiting, held, at = [], 0, stop
+    if waiting:
+        yield _one(waiting)
+
+
+def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.concat_batches(parts)
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lets Arrow batches end at BATCH_BYTES: by default they end at 10,000 rows, whatever these hold."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match(r"\d+", spark.conf.get(key, "2147483647"))[0]) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def slots(spark: SparkSession) -> int:

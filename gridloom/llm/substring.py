@@ -6,11 +6,13 @@ doc_id; consecutive repeated edges of a document form a path without a branch an
 compacted to one span, given in word positions of the source, which is cut out.
 
 Documents are dealt to chunks of neighbouring doc_ids, a few MB each. A chunk sends
-each of its different edges once, as sorted 80-bit hashes, to the bucket of the hash;
+each of its different edges once, as sorted 64-bit hashes, to the bucket of the hash;
 a join of all chunks within the bucket tells every chunk but the first to hold an edge
-that the edge is repeated. Inside a chunk the edges' source coordinates decide. So a
-passage in a third of all documents costs no more than one entry a chunk, no pair of
-documents is ever formed, and what a task holds is bounded by the chunk.
+that the edge is repeated, and from which. Runs of edges from one chunk are asked of it,
+each different one once a chunk; it answers with the words at the run's source coordinates,
+and a run that doesn't start with those very words is no repeat. So a passage in a third of
+all documents costs no more than one entry a chunk, no pair of documents is ever formed,
+and what a task holds is bounded by the chunk.
 
 Words are runs of anything but space and the control characters 9 to 13; null and
 empty texts have none and come out as empty text. Texts shorter than K words are never
@@ -23,11 +25,12 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import PLAIN, U, hash_words, mixed, rolling, row_of, spans, split_words, text_bytes
+from .shared import PLAIN, U, bounded, hash_words, release, rolling, row_of, spans, split_words, text_bytes
 
 K = 13
 #: Text in a chunk; beyond 4096 chunks chunks grow with the square root of the corpus, and so does their number.
@@ -47,11 +50,10 @@ def _deal(bounds: np.ndarray):
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            for part in spans(batch, "text"):
-                chunk = np.searchsorted(bounds, part.column(0).to_numpy(zero_copy_only=False), "left").astype(np.int32)
-                packed = [pack((x or "").encode()) for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(chunk), part.column(0), pa.array(packed, pa.binary())], names=["chunk", "doc_id", "packed"])
+        for part in spans(batches, "text"):
+            chunk = np.searchsorted(bounds, part.column(0).to_numpy(zero_copy_only=False), "left").astype(np.int32)
+            packed = [pack((x or "").encode()) for x in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(chunk), part.column(0), pa.array(packed, pa.binary())], names=["chunk", "doc_id", "packed"])
 
     return run
 
@@ -60,6 +62,7 @@ class Chunk:
     """The documents of a chunk in ascending doc_id, and their edges."""
 
     def __init__(self, table: pa.Table, k: int):
+        release()
         self.ids = table.column("doc_id").combine_chunks().to_numpy(zero_copy_only=False)
         order = np.argsort(self.ids, kind="stable")
         self.ids = self.ids[order]
@@ -75,47 +78,38 @@ class Chunk:
         self.at = np.flatnonzero(row[:n] == row[k - 1 :]) if n else np.zeros(0, np.int64)
         self.row = row[self.at]
         self.edges = rolling(words, k)[self.at] if n else np.zeros(0, np.uint64)
-        self.words, self.k = words, k
 
-    def checks(self) -> np.ndarray:
-        """16 more bits of each edge, of another hash."""
-        return (rolling(mixed(self.words ^ U(0xA0761D6478BD642F)), self.k, 0xE7037ED1A0B428DB)[self.at] >> U(48)).astype(np.uint16)
 
-
-def _pack(edges: np.ndarray, checks: np.ndarray) -> bytes:
-    """Sorted hashes as 6-byte differences, or whole where one doesn't fit; then their check bits."""
+def _pack(edges: np.ndarray) -> bytes:
+    """Sorted hashes as 6-byte differences, or whole where one doesn't fit."""
     steps = np.diff(edges, prepend=U(0))
-    first = edges[:1].tobytes()
     if (steps[1:] >> U(48)).any():
-        body = b"\1" + edges.tobytes()
-    else:
-        body = b"\0" + first + np.ascontiguousarray(steps[1:].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-    return body + checks.tobytes()
+        return b"\1" + edges.tobytes()
+    return b"\0" + edges[:1].tobytes() + np.ascontiguousarray(steps[1:].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
-def _unpack(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(blob: bytes, n: int) -> np.ndarray:
     if blob[0] == 1:
-        edges = np.frombuffer(blob, np.uint64, n, 1)
-    else:
-        steps = np.zeros((n, 8), np.uint8)
-        steps[0] = np.frombuffer(blob, np.uint8, 8, 1)
-        steps[1:, :6] = np.frombuffer(blob, np.uint8, 6 * (n - 1), 9).reshape(-1, 6)
-        edges = np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
-    return edges, np.frombuffer(blob[len(blob) - 2 * n :], np.uint16)
+        return np.frombuffer(blob, np.uint64, n, 1)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[0] = np.frombuffer(blob, np.uint8, 8, 1)
+    steps[1:, :6] = np.frombuffer(blob, np.uint8, 6 * (n - 1), 9).reshape(-1, 6)
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
 
 
 _EDGES = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("n", pa.int32()), ("edges", pa.binary())])
-_REPEATED = pa.schema([("chunk", pa.int32()), ("edges", pa.binary())])
+_REPEATED = pa.schema([("chunk", pa.int32()), ("edges", pa.binary()), ("owners", pa.binary())])
+_ASKED = pa.schema([("chunk", pa.int32()), ("asker", pa.int32()), ("edges", pa.binary()), ("sizes", pa.binary())])
+_ANSWERED = pa.schema([("chunk", pa.int32()), ("owner", pa.int32()), ("spans", pa.binary())])
 
 
 def _send_edges(buckets: int, k: int):
     def run(key, table):
         own = Chunk(table, k)
-        edges, first = np.unique(own.edges, return_index=True)
-        checks = own.checks()[first] if len(edges) else np.zeros(0, np.uint16)
+        edges = np.unique(own.edges)
         cuts = np.searchsorted((edges >> U(32)) * U(buckets) >> U(32), np.arange(buckets + 1))
         full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-        blobs = [_pack(edges[cuts[b] : cuts[b + 1]], checks[cuts[b] : cuts[b + 1]]) for b in full]
+        blobs = [_pack(edges[cuts[b] : cuts[b + 1]]) for b in full]
         return pa.Table.from_arrays([pa.array(full, pa.int32()), pa.array([key[0].as_py()] * len(full), pa.int32()), pa.array(np.diff(cuts)[full].astype(np.int32) if full else [], pa.int32()), pa.array(blobs, pa.binary())], schema=_EDGES)
 
     return run
@@ -126,29 +120,118 @@ def _join_edges(key, table):
     chunk = table.column("chunk").combine_chunks().to_numpy()
     order = np.argsort(chunk, kind="stable")
     sizes, blobs = table.column("n").to_pylist(), table.column("edges").to_pylist()
-    parts = [_unpack(blobs[i], sizes[i]) for i in order]
-    edges, checks = (np.concatenate(x) for x in zip(*parts, strict=True))
+    edges = np.concatenate([_unpack(blobs[i], sizes[i]) for i in order])
     holder = np.repeat(chunk[order], [sizes[i] for i in order])
     by = np.argsort(edges, kind="stable")
-    edges, checks, holder = edges[by], checks[by], holder[by]
-    again = np.flatnonzero((edges[1:] == edges[:-1]) & (checks[1:] == checks[:-1])) + 1
-    edges, holder = edges[again], holder[again]
-    by = np.argsort(holder, kind="stable")
     edges, holder = edges[by], holder[by]
+    new = np.ones(len(edges), bool)
+    new[1:] = edges[1:] != edges[:-1]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(edges)), 0))
+    again = np.flatnonzero(~new)
+    edges, holder, source = edges[again], holder[again], holder[first[again]]
+    by = np.argsort(holder, kind="stable")
+    edges, holder, source = edges[by], holder[by], source[by]
     chunks, cuts = np.unique(holder, return_index=True)
     cuts = [*cuts.tolist(), len(holder)]
-    return pa.Table.from_arrays([pa.array(chunks, pa.int32()), pa.array([edges[a:b].tobytes() for a, b in itertools.pairwise(cuts)], pa.binary())], schema=_REPEATED)
+    parts = [(edges[a:b].tobytes(), source[a:b].tobytes()) for a, b in itertools.pairwise(cuts)]
+    return pa.Table.from_arrays([pa.array(chunks, pa.int32()), *(pa.array([p[n] for p in parts], pa.binary()) for n in (0, 1))], schema=_REPEATED)
+
+
+class Paths:
+    """The runs of consecutive edges of a chunk that one earlier chunk holds, and what is asked of that chunk: each different (first edge, length) once."""
+
+    def __init__(self, own: Chunk, repeated: pa.Table):
+        edges = np.frombuffer(b"".join(repeated.column("edges").to_pylist()), np.uint64)
+        owners = np.frombuffer(b"".join(repeated.column("owners").to_pylist()), np.int32)
+        order = np.argsort(edges)
+        edges, owners = edges[order], owners[order]
+        #: The chunk that each edge is repeated from, or -1.
+        self.owner = np.full(len(own.edges), -1, np.int32)
+        if len(edges) and len(own.edges):
+            at = np.minimum(np.searchsorted(edges, own.edges), len(edges) - 1)
+            self.owner = np.where(edges[at] == own.edges, owners[at], np.int32(-1))
+        held = self.owner >= 0
+        goes_on = np.zeros(len(held), bool)
+        goes_on[1:] = held[1:] & (self.owner[1:] == self.owner[:-1]) & (own.at[1:] == own.at[:-1] + 1) & (own.row[1:] == own.row[:-1])
+        #: First edge and number of edges of each run.
+        self.begin = np.flatnonzero(held & ~goes_on)
+        ends = np.flatnonzero(held & ~np.append(goes_on[1:], False)) if len(held) else self.begin
+        self.size = (ends - self.begin + 1).astype(np.int32)
+        asked = np.zeros(len(self.begin), [("owner", np.int32), ("edge", np.uint64), ("size", np.int32)])
+        asked["owner"], asked["edge"], asked["size"] = self.owner[self.begin], own.edges[self.begin], self.size
+        self.asked, self.request = np.unique(asked, return_inverse=True)
+
+
+def _ask(k: int):
+    """Of every chunk: what it asks the chunks that hold its paths."""
 
-
-def _cut(k: int, schema: pa.Schema):
     def run(key, docs, repeated):
+        if not docs.num_rows or not repeated.num_rows:
+            return _ASKED.empty_table()
+        asked = Paths(Chunk(docs, k), repeated).asked
+        owners, cuts = np.unique(asked["owner"], return_index=True)
+        cuts = [*cuts.tolist(), len(asked)]
+        parts = [(asked["edge"][a:b].tobytes(), asked["size"][a:b].tobytes()) for a, b in itertools.pairwise(cuts)]
+        return pa.Table.from_arrays([pa.array(owners, pa.int32()), pa.array([key[0].as_py()] * len(owners), pa.int32()), *(pa.array([p[n] for p in parts], pa.binary()) for n in (0, 1))], schema=_ASKED)
+
+    return run
+
+
+def _answer(k: int):
+    """Of every chunk that is asked: the words at the source coordinates of each path (its first edge in the smallest document, and as far as the path goes)."""
+
+    def run(key, docs, asked):
+        if not docs.num_rows or not asked.num_rows:
+            return _ANSWERED.empty_table()
+        own = Chunk(docs, k)
+        order = np.argsort(own.edges, kind="stable")
+        edges = own.edges[order]
+        pack = zstandard.ZstdCompressor(level=1).compress
+        split: dict[int, list[bytes]] = {}
+        answers = []
+        for firsts, sizes in zip(asked.column("edges").to_pylist(), asked.column("sizes").to_pylist(), strict=True):
+            firsts, sizes = np.frombuffer(firsts, np.uint64), np.frombuffer(sizes, np.int32)
+            at = order[np.minimum(np.searchsorted(edges, firsts), len(edges) - 1)]
+            spans = []
+            for row, begin, size in zip(own.row[at].tolist(), (own.at[at] - own.bounds[own.row[at]]).tolist(), sizes.tolist(), strict=True):
+                words = split.get(row)
+                if words is None:
+                    if len(split) > 256:
+                        split.clear()
+                    words = split[row] = own.texts[row].split()
+                spans.append(b" ".join(words[begin : begin + size + k - 1]))
+            answers.append(pack(b"\n".join(spans)))
+        return pa.Table.from_arrays([asked.column("asker").combine_chunks(), pa.array([key[0].as_py()] * len(answers), pa.int32()), pa.array(answers, pa.binary())], schema=_ANSWERED)
+
+    return run
+
+
+def _cut(k: int, schema: pa.Schema, as_is: bool = False):
+    def run(key, docs, told):
         if not docs.num_rows:
             return schema.empty_table()
         own = Chunk(docs, k)
-        known = np.sort(np.frombuffer(b"".join(repeated.column("edges").to_pylist()), np.uint64))
-        gone = np.zeros(len(own.edges), bool)
-        if len(known) and len(own.edges):
-            gone = known[np.minimum(np.searchsorted(known, own.edges), len(known) - 1)] == own.edges
+        answered = told.filter(pc.is_valid(told.column("spans")))
+        paths = Paths(own, told.filter(pc.is_null(told.column("spans"))))
+        gone = paths.owner >= 0
+        unpack = zstandard.ZstdDecompressor().decompress
+        sources = {o: unpack(x).split(b"\n") for o, x in zip(answered.column("owner").to_pylist(), answered.column("spans").to_pylist(), strict=True)}
+        first_of = dict(zip(*(x.tolist() for x in np.unique(paths.asked["owner"], return_index=True)), strict=True))
+        run_row = own.row[paths.begin]
+        run_cuts = np.searchsorted(run_row, np.arange(len(own.ids) + 1))
+        split = []
+        for i, text in enumerate(own.texts):
+            words = text.split()
+            split.append(words)
+            for r in range(run_cuts[i], run_cuts[i + 1]):
+                edge, size, ask = int(paths.begin[r]), int(paths.size[r]), int(paths.request[r])
+                o = int(paths.asked["owner"][ask])
+                source = sources[o][ask - first_of[o]]
+                at = int(own.at[edge] - own.bounds[i])
+                here = words[at : at + size + k - 1]
+                # A path that doesn't start with the words at its source is no path: equal hashes of other words.
+                if b" ".join(here) != source and here[:k] != source.split(b" ", k)[:k]:
+                    gone[edge] = False
         by = np.argsort(own.edges, kind="stable")
         new = np.ones(len(by), bool)
         new[1:] = own.edges[by][1:] != own.edges[by][:-1]
@@ -167,22 +250,25 @@ def _cut(k: int, schema: pa.Schema):
         removed = np.zeros(len(own.ids), np.int64)
         np.add.at(removed, path_row, end - begin)
         kept = []
-        for i, text in enumerate(own.texts):
-            words = text.split()
+        for i, words in enumerate(split):
+            if as_is and not removed[i]:
+                kept.append(own.texts[i])
+                continue
             for j in range(cuts[i + 1] - 1, cuts[i] - 1, -1):
                 del words[begin[j] : end[j]]
             kept.append(b" ".join(words))
-        paths = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.StructArray.from_arrays([pa.array(begin), pa.array(end)], names=["begin", "end"]))
-        return pa.Table.from_arrays([pa.array(own.ids), pa.array(counts), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string()), paths.cast(schema.field("paths").type)], schema=schema)
+        cut = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.StructArray.from_arrays([pa.array(begin), pa.array(end)], names=["begin", "end"]))
+        return pa.Table.from_arrays([pa.array(own.ids), pa.array(counts), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string()), cut.cast(schema.field("paths").type)], schema=schema)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, k: int = K) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = K, as_is: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, text (the words kept, one space between) and paths (the spans cut, in words).
 
-    ``doc_id`` is an integer; a null one counts as the smallest. Texts are shuffled once, compressed; hashes of all edges once.
+    ``as_is`` leaves texts of which nothing is removed as they are, white space and all. ``doc_id`` is an integer; a null one counts as the smallest. Texts are shuffled once, compressed, and used four times; hashes of all edges once.
     """
+    bounded(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = chunk_count(total)
@@ -192,7 +278,10 @@ def remove_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     dealt = rows.mapInArrow(_deal(bounds), "chunk int, doc_id long, packed binary")
 
     edges = dealt.groupBy("chunk").applyInArrow(_send_edges(chunks, k), "bucket int, chunk int, n int, edges binary")
-    repeated = edges.groupBy("bucket").applyInArrow(_join_edges, "chunk int, edges binary")
+    repeated = edges.groupBy("bucket").applyInArrow(_join_edges, "chunk int, edges binary, owners binary")
+    asked = dealt.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_ask(k), "chunk int, asker int, edges binary, sizes binary")
+    answered = dealt.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_answer(k), "chunk int, owner int, spans binary")
+    told = repeated.select("chunk", "edges", "owners", F.lit(None).cast("int").alias("owner"), F.lit(None).cast("binary").alias("spans")).union(answered.select("chunk", F.lit(None).cast("binary"), F.lit(None).cast("binary"), "owner", "spans"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string()), ("paths", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))])
-    cut = dealt.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_cut(k, schema), "doc_id long, n_words long, n_removed long, text string, paths array<struct<begin:bigint,end:bigint>>")
+    cut = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_cut(k, schema, as_is), "doc_id long, n_words long, n_removed long, text string, paths array<struct<begin:bigint,end:bigint>>")
     return cut.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
