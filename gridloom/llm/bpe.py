@@ -29,10 +29,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import mixed, spans, tokenizer_path
+from .shared import KEEPERS, bounded, mixed, spans, tokenizer_path
 
 #: Entries kept in each of the two generations of a worker's word cache.
-KEPT = 600_000
+KEPT = 350_000
 #: Bytes of text that are encoded together: the more, the fewer steps for new words.
 SPAN = 8 << 20
 
@@ -295,6 +295,8 @@ _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 
 @lru_cache(4)
 def tokenizer(path: str) -> WordTokenizer:
+    """A worker's tokenizer with its cache of words, kept until another operator runs there."""
+    KEEPERS["bpe"] = tokenizer.cache_clear
     return WordTokenizer(path)
 
 
@@ -306,21 +308,21 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
+    bounded(docs.sparkSession)
     rows = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
     fields = [rows.schema[0], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
     schema = T.StructType(fields + [T.StructField("decoded", T.StringType())] * decoded)
 
     def encode(batches):
         own = tokenizer(path)
-        for batch in batches:
-            for part in spans(batch, "text", SPAN):
-                ids = own.encode_all([x or "" for x in part.column("text").to_pylist()])
-                columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-                names = [key, "n_tokens", "ids"]
-                if decoded:
-                    columns.append(pa.array([own.decode(x) for x in ids], pa.string()))
-                    names.append("decoded")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        for part in spans(batches, "text", SPAN, "bpe"):
+            ids = own.encode_all([x or "" for x in part.column("text").to_pylist()])
+            columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            names = [key, "n_tokens", "ids"]
+            if decoded:
+                columns.append(pa.array([own.decode(x) for x in ids], pa.string()))
+                names.append("decoded")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.mapInArrow(encode, schema)
 
@@ -330,13 +332,13 @@ def decode_documents(encoded: DataFrame, path: str, key: str = "doc_id", ids: st
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
+    bounded(encoded.sparkSession)
     rows = encoded.select(F.col(key), F.col(ids).alias("ids"))
 
     def decode(batches):
         own = tokenizer(path)
-        for batch in batches:
-            for part in spans(batch, "ids"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.decode(x or b"") for x in part.column("ids").to_pylist()], pa.string())], names=[key, "decoded"])
+        for part in spans(batches, "ids", keeper="bpe"):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.decode(x or b"") for x in part.column("ids").to_pylist()], pa.string())], names=[key, "decoded"])
 
     return rows.mapInArrow(decode, T.StructType([rows.schema[0], T.StructField("decoded", T.StringType())]))
 

@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import tokenizer
-from .shared import spans
+from .bpe import SPAN, tokenizer
+from .shared import bounded, spans
 
 LENGTH = 2048
 PAD = 49407
@@ -88,6 +88,7 @@ SCHEMA = "pack_id long, n_tokens int, ids binary, cu_seqlens array<int>, positio
 
 def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, pad: int = PAD) -> DataFrame:
     """Packed rows of all documents: pack_id, n_tokens (without padding), ids, cu_seqlens, position_resets, doc_ids and doc_offsets."""
+    bounded(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -119,19 +120,19 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, pad: int =
         own = tokenizer(path)
         first = TaskContext.get().partitionId() << 33
         pool, tokens, id_type = [], 0, None
-        for batch in batches:
-            for part in spans(batch, "text"):
-                id_type = part.schema.field(0).type
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column("text").to_pylist(), strict=True):
-                    ids = np.frombuffer(own.encode(text or ""), "<u4")
-                    for at in range(0, len(ids), length):
-                        pool.append((doc_id, at, ids[at : at + length]))
-                        tokens += min(length, len(ids) - at)
-                        if len(pool) >= POOL or tokens >= POOL_TOKENS:
-                            out = packed(pool, first, id_type)
-                            first += out.num_rows
-                            pool, tokens = [], 0
-                            yield out
+        for part in spans(batches, "text", SPAN, "bpe"):
+            id_type = part.schema.field(0).type
+            encoded = own.encode_all([x or "" for x in part.column("text").to_pylist()])
+            for doc_id, raw in zip(part.column(0).to_pylist(), encoded, strict=True):
+                ids = np.frombuffer(raw, "<u4")
+                for at in range(0, len(ids), length):
+                    pool.append((doc_id, at, ids[at : at + length]))
+                    tokens += min(length, len(ids) - at)
+                    if len(pool) >= POOL or tokens >= POOL_TOKENS:
+                        out = packed(pool, first, id_type)
+                        first += out.num_rows
+                        pool, tokens = [], 0
+                        yield out
         if pool:
             yield packed(pool, first, id_type)
 
