@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import slots, spans
+from .shared import bounded, slots, spans
 
 #: Elements that end the block of text before them.
 # The block elements of HTML.
@@ -202,17 +202,16 @@ def deleted(own: list[int], inside: list[bool], other: list[int] | None) -> list
 
 def _parse(batches):
     pack = zstandard.ZstdCompressor(level=1).compress
-    for batch in batches:
-        for part in spans(batch, "html"):
-            columns = [[] for _ in range(4)]
-            for page_id, url, page in zip(part.column("page_id").to_pylist(), part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
-                lines, inside = page_lines(page or "")
-                host, path = url_parts(url or "")
-                columns[0].append(f"{host}\0{path}\0{page_id if page_id is not None else -1:020}".encode())
-                columns[1].append(pack("\n".join(lines).encode("utf-8", "surrogatepass")))
-                columns[2].append(bytes(inside))
-                columns[3].append(np.array([stable(x) for x in lines], np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *(pa.array(x, pa.binary()) for x in columns)], names=["page_id", "url", "sort", "lines", "inside", "hashes"])
+    for part in spans(batches, "html"):
+        columns = [[] for _ in range(4)]
+        for page_id, url, page in zip(part.column("page_id").to_pylist(), part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
+            lines, inside = page_lines(page or "")
+            host, path = url_parts(url or "")
+            columns[0].append(f"{host}\0{path}\0{page_id if page_id is not None else -1:020}".encode())
+            columns[1].append(pack("\n".join(lines).encode("utf-8", "surrogatepass")))
+            columns[2].append(bytes(inside))
+            columns[3].append(np.array([stable(x) for x in lines], np.int64).tobytes())
+        yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *(pa.array(x, pa.binary()) for x in columns)], names=["page_id", "url", "sort", "lines", "inside", "hashes"])
 
 
 def stable(line: str) -> int:
@@ -259,6 +258,7 @@ def _differ(key, own, outer):
 def extract(pages: DataFrame) -> DataFrame:
     """Each page's page_id, url, text (blocks joined by two line feeds) and neighbour (the page it was compared with)."""
     spark = pages.sparkSession
+    bounded(spark)
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     kind = rows.schema["page_id"].dataType.simpleString()
     parsed = rows.mapInArrow(_parse, T.StructType([rows.schema[0], *T._parse_datatype_string("url string, sort binary, lines binary, inside binary, hashes binary").fields]))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import U, byte_table, mixed, spans, split_words, text_bytes
+from .shared import U, bounded, byte_table, mixed, spans, split_words, text_bytes
 
 #: n-grams are hashed to this many bins for each language.
 BINS = 1 << 16
@@ -69,20 +69,20 @@ def learn(documents: DataFrame) -> tuple[list[str], np.ndarray]:
 
     Workers count whole partitions; what reaches the driver is at most BINS numbers a language.
     """
+    bounded(documents.sparkSession)
     rows = documents.where(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for part in spans(batch, "text"):
-                bins, first, bounds = word_grams(part.column("text"))
-                per_row = np.append(first, len(bins))[bounds]
-                codes = part.column("lang").dictionary_encode()
-                owner = np.repeat(codes.indices.to_numpy(), np.diff(per_row)).astype(np.int64)
-                names = codes.dictionary.to_pylist()
-                table = np.bincount(owner * BINS + bins, minlength=len(names) * BINS).reshape(-1, BINS)
-                for name, counts in zip(names, table, strict=True):
-                    sums[name] = sums[name] + counts if name in sums else counts
+        for part in spans(batches, "text", 1 << 20):
+            bins, first, bounds = word_grams(part.column("text"))
+            per_row = np.append(first, len(bins))[bounds]
+            codes = part.column("lang").dictionary_encode()
+            owner = np.repeat(codes.indices.to_numpy(), np.diff(per_row)).astype(np.int64)
+            names = codes.dictionary.to_pylist()
+            table = np.bincount(owner * BINS + bins, minlength=len(names) * BINS).reshape(-1, BINS)
+            for name, counts in zip(names, table, strict=True):
+                sums[name] = sums[name] + counts if name in sums else counts
         for name, counts in sums.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], names=["lang", "bin", "n"])
@@ -157,26 +157,26 @@ def infer(bins: np.ndarray, first: np.ndarray, bounds: np.ndarray, model: np.nda
     return shares, chosen
 
 
-def identify(documents: DataFrame, names: list[str], model: np.ndarray, key: str = "doc_id") -> DataFrame:
-    """Each row's key, lang_pred, score (the share of lang_pred) and languages (the chosen set with shares)."""
-    rows = documents.select(F.col(key), F.col("text").cast("string").alias("text"))
+def identify(documents: DataFrame, names: list[str], model: np.ndarray, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Each row's ``carry`` columns, lang_pred, score (the share of lang_pred) and languages (the chosen set with shares)."""
+    bounded(documents.sparkSession)
+    rows = documents.select(*[F.col(c) for c in carry if c != "text"], F.col("text").cast("string").alias("text"))
     sent = documents.sparkSession.sparkContext.broadcast(model)  # BINS floats a language, at most MOST_LANGUAGES
-    own_key = rows.schema[0]
+    kept = [c for c in rows.columns if c in carry]
 
     def run(batches):
-        for batch in batches:
-            for part in spans(batch, "text", 1 << 20):
-                bins, first, bounds = word_grams(part.column("text"))
-                shares, chosen = infer(bins, first, bounds, sent.value) if names else (np.zeros((part.num_rows, 0)),) * 2
-                best = shares.argmax(axis=1) if names else []
-                letters = pc.fill_null(pc.match_substring_regex(part.column("text"), r"\pL"), False).to_pylist()
-                pred, score, sets = [], [], []
-                for i, ok in enumerate(letters):
-                    if not ok or not names or bounds[i] == bounds[i + 1]:
-                        pred.append("und"), score.append(0.0), sets.append([])
-                        continue
-                    pred.append(names[best[i]]), score.append(float(min(1.0, shares[i, best[i]])))
-                    sets.append([{"lang": names[j], "share": float(shares[i, j])} for j in np.flatnonzero(chosen[i])])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))], names=[key, "lang_pred", "score", "languages"])
-
-    return rows.mapInArrow(run, T.StructType([own_key, *T._parse_datatype_string("lang_pred string, score double, languages array<struct<lang:string,share:double>>").fields]))
+        for part in spans(batches, "text", 1 << 20):
+            bins, first, bounds = word_grams(part.column("text"))
+            shares, chosen = infer(bins, first, bounds, sent.value) if names else (np.zeros((part.num_rows, 0)),) * 2
+            best = shares.argmax(axis=1) if names else []
+            letters = pc.fill_null(pc.match_substring_regex(part.column("text"), r"\pL"), False).to_pylist()
+            pred, score, sets = [], [], []
+            for i, ok in enumerate(letters):
+                if not ok or not names or bounds[i] == bounds[i + 1]:
+                    pred.append("und"), score.append(0.0), sets.append([])
+                    continue
+                pred.append(names[best[i]]), score.append(float(min(1.0, shares[i, best[i]])))
+                sets.append([{"lang": names[j], "share": float(shares[i, j])} for j in np.flatnonzero(chosen[i])])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))], names=[*kept, "lang_pred", "score", "languages"])
+
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in kept), *T._parse_datatype_string("lang_pred string, score double, languages array<struct<lang:string,share:double>>").fields]))

@@ -14,7 +14,7 @@ class from the start. In every bucket of a band the members are linked to two ce
 the member that shares the most buckets and the one with the smallest id: never to each
 other. Links are verified by the exact weighted Jaccard of the texts; classes are the
 connected components of the links that hold. Buckets that still hold several classes
-choose a new centre among the members outside the first class, until no link is found.
+choose a new centre each, whose links to other classes are tried, until a round finds none.
 
 Words are ASCII letters and digits and everything beyond ASCII, without regard to the
 case of A-Z. Texts of one to four words are one shingle. Texts without a word (null and
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, U, hash_words, materialize, mixed, rolling, row_of, spans, split_words, text_bytes
+from .shared import ALNUM, U, bounded, hash_words, materialize, mixed, rolling, row_of, spans, split_words, text_bytes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -37,8 +37,6 @@ BANDS = 25
 ROWS = 5
 COORDINATES = BANDS * ROWS
 N_DARTS = 980.0
-#: Rounds of new centres for buckets that hold several classes.
-ROUNDS = 4
 
 
 def weighted_regions(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,27 +105,25 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches):
-    for batch in batches:
-        for part in spans(batch, "text", 4 << 20):
-            regions, bounds, digest = weighted_regions(part.column("text"))
-            has = np.diff(bounds) > 0
-            keys = band_keys(dart_signatures(regions, bounds))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(has, BANDS, 0))).astype(np.int32)), pa.array(keys[has].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest.view(np.int64)), pa.array(np.diff(bounds)), lists], names=["doc_id", "digest", "weight", "bands"])
+    for part in spans(batches, "text"):
+        regions, bounds, digest = weighted_regions(part.column("text"))
+        has = np.diff(bounds) > 0
+        keys = band_keys(dart_signatures(regions, bounds))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(has, BANDS, 0))).astype(np.int32)), pa.array(keys[has].ravel().view(np.int64)))
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest.view(np.int64)), pa.array(np.diff(bounds)), lists], names=["doc_id", "digest", "weight", "bands"])
 
 
 def _similarity(batches):
     """Exact weighted Jaccard of the two texts of each pair."""
-    for batch in batches:
-        for part in spans(batch, "text_a", 1 << 20):
-            sides = [weighted_regions(part.column(c)) for c in ("text_a", "text_b")]
-            keys = np.concatenate([s[0] for s in sides])
-            pair = np.concatenate([row_of(s[1]) for s in sides])
-            order = np.lexsort((keys, pair))
-            keys, pair = keys[order], pair[order]
-            both = np.bincount(pair[1:][(keys[1:] == keys[:-1]) & (pair[1:] == pair[:-1])], minlength=part.num_rows)
-            total = np.diff(sides[0][1]) + np.diff(sides[1][1]) - both
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(both / np.maximum(total, 1))], names=["a", "b", "similarity"])
+    for part in spans(batches, "text_a", 1 << 20):
+        sides = [weighted_regions(part.column(c)) for c in ("text_a", "text_b")]
+        keys = np.concatenate([s[0] for s in sides])
+        pair = np.concatenate([row_of(s[1]) for s in sides])
+        order = np.lexsort((keys, pair))
+        keys, pair = keys[order], pair[order]
+        both = np.bincount(pair[1:][(keys[1:] == keys[:-1]) & (pair[1:] == pair[:-1])], minlength=part.num_rows)
+        total = np.diff(sides[0][1]) + np.diff(sides[1][1]) - both
+        yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(both / np.maximum(total, 1))], names=["a", "b", "similarity"])
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -162,6 +158,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, class_id (the smallest doc_id of its class), class_size, n_links (verified links) and similarity (its best link, 1 for equal words)."""
+    bounded(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     signed = rows.mapInArrow(_sign, f"doc_id {kind}, digest long, weight long, bands array<bigint>")
@@ -184,12 +181,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = materialize(pairs, "pairs")
     links = materialize(verify(tried, texts), "verified")
     classes = components(links)
-    for _ in range(ROUNDS):
+    used = None
+    while True:
         placed = entries.join(classes, "doc_id", "left").select("bucket", "doc_id", "met", F.coalesce("class_id", "doc_id").alias("class_id"))
-        mixed_buckets = placed.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high")
-        open_ = materialize(placed.join(mixed_buckets, "bucket"), "open")
-        centre = open_.where("class_id <> low").groupBy("bucket").agg(F.max(F.struct("met", -F.col("doc_id"), "class_id")).alias("c"))
-        more = open_.join(centre, "bucket").where("class_id <> c.class_id").select(F.col("doc_id").alias("x"), (-F.col("c.col2")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        several = placed.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high")
+        open_ = materialize(placed.join(several, "bucket"), "open")
+        if used is None:  # the centres of before, of the buckets that are open still
+            before = open_.groupBy("bucket").agg(F.max(F.struct("met", -F.col("doc_id"))).getField("col2").alias("minus"), F.min("doc_id").alias("doc_id"))
+            used = before.select("bucket", "doc_id").union(before.select("bucket", -F.col("minus")))
+        left = open_.join(used, ["bucket", "doc_id"], "left_anti")
+        centre = materialize(left.groupBy("bucket").agg(F.max(F.struct("met", -F.col("doc_id"), "class_id")).alias("c")).select("bucket", (-F.col("c.col2")).alias("centre"), F.col("c.class_id").alias("own")), "centres")
+        used = used.union(centre.select("bucket", "centre"))
+        more = open_.join(centre, "bucket").where("class_id <> own").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
         fresh = materialize(more.join(tried, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
             break

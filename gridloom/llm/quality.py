@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import spans
+from .shared import bounded, spans
 
 #: Labelled documents of each class that are used for fitting, at most.
 SAMPLE = 3000
@@ -106,9 +106,8 @@ def _spread(text: bytes) -> bytes:
 
 
 def _cut(batches):
-    for batch in batches:
-        for part in spans(batch, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_spread(x) for x in part.column(2).to_pylist()], pa.binary())], names=["quality", "h", "text"])
+    for part in spans(batches, "text"):
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_spread(x) for x in part.column(2).to_pylist()], pa.binary())], names=["quality", "h", "text"])
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> dict:
@@ -116,6 +115,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> dict:
 
     The labels choose the sample, at most 2 * SAMPLE ids, before any text is touched; these are broadcast, and their texts reach the driver.
     """
+    bounded(documents.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("h"))
     first, second = (known.where(F.col("quality") == label).orderBy("h", "doc_id").limit(SAMPLE) for label in (0, 1))
     rows = documents.select("doc_id", F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("text"))
@@ -140,15 +140,15 @@ def fit(documents: DataFrame, labels: DataFrame) -> dict:
 
 def score(documents: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
     """Each row's key, difference (of compressed sizes) and score."""
+    bounded(documents.sparkSession)
     rows = documents.select(F.col(key), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         measure = Compressor(model["good"], model["bad"]).difference if "good" in model else None
-        for batch in batches:
-            for part in spans(batch, "text"):
-                texts = part.column("text").to_pylist()
-                x = np.array([measure((t or "").encode()) if measure else 0.0 for t in texts])
-                p = probability(model, x)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x), pa.array(p)], names=[key, "difference", "score"])
+        for part in spans(batches, "text"):
+            texts = part.column("text").to_pylist()
+            x = np.array([measure((t or "").encode()) if measure else 0.0 for t in texts])
+            p = probability(model, x)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x), pa.array(p)], names=[key, "difference", "score"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("difference", T.DoubleType()), T.StructField("score", T.DoubleType())]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, html_extract, langid, minhash, packing, quality, spotsigs, substring
@@ -88,27 +88,24 @@ QUERIES = {
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; those without a letter and those without a leading language go."""
     names, model = langid.learn(docs.where(~langid.held_out()))
-    judged = langid.identify(docs.withColumn("_row", F.struct(*[c for c in docs.columns])), names, model, key="_row")
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.3)).select("_row.*")
+    own = {c: c if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)}  # no name of theirs is one of the results'
+    judged = langid.identify(docs.select(*[F.col(f"`{c}`").alias(o) for c, o in own.items()]), names, model, carry=tuple(own.values()))
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.3)).select(*[F.col(o).alias(c) for c, o in own.items()])
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of every class of near copies, and of rows with equal doc_id one."""
     first = minhash.near_duplicates(docs).where("doc_id = class_id").select("doc_id")
-    best = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    once = docs.join(first, "doc_id", "left_semi")
-    single, several = once.join(best, "doc_id", "left_anti"), once.join(best, "doc_id", "left_semi")
     rest = [c for c in docs.columns if c != "doc_id"]
-    chosen = several.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", "r.*")
-    return single.select(docs.columns).unionByName(chosen.select(docs.columns))
+    once = Window.partitionBy("doc_id").orderBy(*rest)  # of the partitioning that the join has anyway
+    return docs.join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document has; a document with nothing left goes."""
-    cut = substring.remove_repeats(docs).where("n_words > n_removed").select("doc_id", F.col("text").alias("_kept"), "n_removed")
-    joined = docs.join(cut, "doc_id")
-    text = F.when(F.col("n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
-    return joined.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("bigint")).select(docs.columns)
+    cut = substring.remove_repeats(docs, as_is=True).where("n_words > n_removed").select("doc_id", F.col("text").alias("_kept"))
+    others = docs.drop("text", "n_chars").join(cut, "doc_id")
+    return others.withColumn("text", F.col("_kept")).withColumn("n_chars", F.char_length("_kept").cast("bigint")).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

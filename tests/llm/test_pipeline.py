@@ -33,6 +33,8 @@ def test_pipeline(spark, docs, corpus, tmp_path):
 def test_stages_keep_columns(spark, docs):
     name, stage = corpus_pipeline.STAGES[0]
     assert stage(spark, docs, "").columns == docs.columns
+    named = docs.select("doc_id", "text", "lang", docs.source.alias("score"), docs.n_chars.alias("lang_pred"))
+    assert stage(spark, named, "").columns == named.columns and stage(spark, named, "").count() == stage(spark, docs, "").count() == 11
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "substring_dedup", "decontamination", "bpe_encoding"]
 
 
