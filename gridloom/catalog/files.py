@@ -7,10 +7,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import reshape as R
 from ..operators.cache import DiskCache, Memo
 from ..sources import files as S
 from ..streaming.feeds import changes_only, feed, watch_file, watch_folder
-from .base import query, rounded, table
+from .base import EVENTS, events, query, rounded, table
 
 
 def _place(spark, name: str) -> str:
@@ -27,6 +28,21 @@ def read_range(spark, sf_dir):
     return S.read_range(spark, f"{sf_dir}/orders.parquet", ["o_orderkey", "o_totalprice"], F.col("o_totalprice") > 200000)
 
 
+@query(f"select event_id::double as event_id, coalesce(val, 0) as val, 0::double as kind, coalesce(try_cast(user_text as double), 0) as user_text from {EVENTS}")
+def read_doubles(spark, sf_dir):
+    return S.as_doubles(events(spark, sf_dir).select("event_id", "val", "kind", "user_text"))
+
+
+@query(f"select cast(event_id as varchar) as event_id, coalesce(kind, '') as kind, user_text from {EVENTS}")
+def read_strings(spark, sf_dir):
+    return S.as_strings(events(spark, sf_dir).select("event_id", "kind", "user_text"))
+
+
+@query("select s_suppkey, upper(s_name) as s_name from supplier")
+def round_trip(spark, sf_dir):
+    return R.round_trip(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), lambda df: df.withColumn("s_name", F.upper("s_name")))
+
+
 @query("select n_nationkey::double as n_nationkey, n_name, n_regionkey::double as n_regionkey from nation")
 def csv_round_trip(spark, sf_dir):
     path = _place(spark, "csv")
