@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, U, bounded, hash_words, materialize, mixed, rolling, row_of, spans, split_words, text_bytes
+from .shared import ALNUM, U, Workspace, bounded, hash_words, mixed, rolling, row_of, spans, split_words, text_bytes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -135,13 +135,13 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_similarity, f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= SIMILARITY).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, keep: Workspace) -> DataFrame:
     """Connected components of links (a, b): doc_id and class_id, the smallest id of its component.
 
     Alternates two star operations until nothing changes: every id passes the smallest of its neighbours to the
     larger ones, then to the smaller ones. Both are aggregations by id, and each round is written out.
     """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    edges = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     seen = None
     while True:
         ways = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -149,7 +149,7 @@ def components(links: DataFrame) -> DataFrame:
         large = ways.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = materialize(small, "stars")
+        edges = keep(small, "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("class_id"))
@@ -159,50 +159,53 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, class_id (the smallest doc_id of its class), class_size, n_links (verified links) and similarity (its best link, 1 for equal words)."""
     bounded(docs.sparkSession)
+    keep = Workspace()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     signed = rows.mapInArrow(_sign, f"doc_id {kind}, digest long, weight long, bands array<bigint>")
-    signed = materialize(signed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("digest", "weight", "bands")).alias("s")).select("doc_id", "s.*"), "signatures")
+    signed = keep(signed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("digest", "weight", "bands")).alias("s")).select("doc_id", "s.*"), "signatures")
     same = signed.where("weight > 0").groupBy("digest", "weight").agg(F.min("doc_id").alias("rep"))
     member = signed.select("doc_id", "digest", "weight").join(same, ["digest", "weight"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    member = materialize(member, "members")
+    member = keep(member, "members")
 
     banded = signed.where("weight > 0").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("bucket"))
-    banded = materialize(banded, "bands")
+    banded = keep(banded, "bands")
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size"))
-    popular = materialize(banded.join(sizes, "bucket").groupBy("doc_id").agg(F.sum("size").alias("met"), F.max("size").alias("most")), "popular")
-    entries = materialize(banded.join(popular, "doc_id").select("bucket", "doc_id", "met"), "buckets")
+    popular = keep(banded.join(sizes, "bucket").groupBy("doc_id").agg(F.sum("size").alias("met"), F.max("size").alias("most")), "popular")
+    entries = keep(banded.join(popular, "doc_id").select("bucket", "doc_id", "met"), "buckets")
     # Texts of documents that share a bucket, shuffled once; a merge join at every size, so that disk grows as the input does.
-    texts = materialize(rows.join(popular.where("most > 1").select("doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
+    texts = keep(rows.join(popular.where("most > 1").select("doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
 
     centres = entries.groupBy("bucket").agg(F.max(F.struct("met", -F.col("doc_id"))).getField("col2").alias("minus"), F.min("doc_id").alias("low"))
     near = entries.join(centres, "bucket")
     pairs = near.select(F.col("doc_id").alias("a"), F.explode(F.array(-F.col("minus"), F.col("low"))).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = materialize(pairs, "pairs")
-    links = materialize(verify(tried, texts), "verified")
-    classes = components(links)
+    tried = keep(pairs, "pairs")
+    links = keep(verify(tried, texts), "verified")
+    classes = components(links, keep)
     used = None
     while True:
-        placed = entries.join(classes, "doc_id", "left").select("bucket", "doc_id", "met", F.coalesce("class_id", "doc_id").alias("class_id"))
+        # A merge join whatever the number of classes, so that what is shuffled grows as the input does.
+        placed = entries.join(classes.hint("merge"), "doc_id", "left").select("bucket", "doc_id", "met", F.coalesce("class_id", "doc_id").alias("class_id"))
         several = placed.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high")
-        open_ = materialize(placed.join(several, "bucket"), "open")
+        open_ = keep(placed.join(several, "bucket"), "open")
         if used is None:  # the centres of before, of the buckets that are open still
             before = open_.groupBy("bucket").agg(F.max(F.struct("met", -F.col("doc_id"))).getField("col2").alias("minus"), F.min("doc_id").alias("doc_id"))
             used = before.select("bucket", "doc_id").union(before.select("bucket", -F.col("minus")))
         left = open_.join(used, ["bucket", "doc_id"], "left_anti")
-        centre = materialize(left.groupBy("bucket").agg(F.max(F.struct("met", -F.col("doc_id"), "class_id")).alias("c")).select("bucket", (-F.col("c.col2")).alias("centre"), F.col("c.class_id").alias("own")), "centres")
+        centre = keep(left.groupBy("bucket").agg(F.max(F.struct("met", -F.col("doc_id"), "class_id")).alias("c")).select("bucket", (-F.col("c.col2")).alias("centre"), F.col("c.class_id").alias("own")), "centres")
         used = used.union(centre.select("bucket", "centre"))
         more = open_.join(centre, "bucket").where("class_id <> own").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-        fresh = materialize(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+        fresh = keep(more.join(tried, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
             break
-        found = materialize(verify(fresh, texts), "verified")
+        found = keep(verify(fresh, texts), "verified")
         tried = tried.union(fresh)
         if found.isEmpty():
             break
         links = links.union(found)
-        classes = components(links)
+        classes = components(links, keep)
     ends = links.select(F.col("a").alias("rep"), "similarity").union(links.select(F.col("b").alias("rep"), "similarity")).groupBy("rep").agg(F.count("*").alias("n_links"), F.max("similarity").alias("similarity"))
     placed = member.join(classes.select(F.col("doc_id").alias("rep"), "class_id"), "rep", "left").join(ends, "rep", "left").withColumn("class_id", F.coalesce("class_id", "rep"))
     sizes = placed.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return placed.join(sizes, "class_id").select("doc_id", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("doc_id") != F.col("rep"), F.lit(1.0)).otherwise(F.coalesce("similarity", F.when(F.col("class_size") > 1, F.lit(1.0)))).alias("similarity"))
+    best = F.when(F.col("doc_id") != F.col("rep"), F.lit(1.0)).otherwise(F.coalesce("similarity", F.when(F.col("class_size") > 1, F.lit(1.0))))
+    return keep.finish(placed.join(sizes, "class_id").select("doc_id", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), best.alias("similarity")), "classes")

@@ -51,6 +51,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Tables written on the way to a result, removed when that is written too."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(materialize(df, name))
+        return self.made[-1]
+
+    def finish(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes the result, then removes all else."""
+        out = materialize(df, name)
+        for made in self.made:
+            for path in {f.rpartition("/")[0] for f in made.inputFiles()}:
+                discard(made.sparkSession, path)
+        self.made.clear()
+        return out
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a written table; after the session has ended there is nothing left to ask."""
     if spark.sparkContext._jsc is None:
