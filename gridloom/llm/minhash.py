@@ -14,7 +14,10 @@ class from the start. In every bucket of a band the members are linked to two ce
 the member that shares the most buckets and the one with the smallest id: never to each
 other. Links are verified by the exact weighted Jaccard of the texts; classes are the
 connected components of the links that hold. Buckets that still hold several classes
-choose a new centre each, whose links to other classes are tried, until a round finds none.
+choose a new centre each, whose links to other classes are tried, as long as that finds
+links for a tenth of the pairs it tries. Then all pairs of members of different classes are
+tried that share a bucket still and that their weights let be similar: in the end every
+two members of a bucket are in one class or have been compared.
 
 Words are ASCII letters and digits and everything beyond ASCII, without regard to the
 case of A-Z. Texts of one to four words are one shingle. Texts without a word (null and
@@ -37,6 +40,8 @@ BANDS = 25
 ROWS = 5
 COORDINATES = BANDS * ROWS
 N_DARTS = 980.0
+#: Shingles that are compared in one go, at least.
+PART = 1 << 25
 
 
 def weighted_regions(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,6 +161,27 @@ def components(links: DataFrame, keep: Workspace) -> DataFrame:
         seen = now
 
 
+def still_open(entries: DataFrame, classes: DataFrame, keep: Workspace) -> DataFrame:
+    """Entries of the buckets that hold several classes, with the class of each."""
+    # A merge join whatever the number of classes, so that what is shuffled grows as the input does.
+    placed = entries.join(classes.hint("merge"), "doc_id", "left").select("bucket", "doc_id", "weight", "met", F.coalesce("class_id", "doc_id").alias("class_id"))
+    several = placed.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high")
+    return keep(placed.join(several, "bucket"), "open")
+
+
+def untried(open_: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes that share a bucket and are not tried, with the weight of their texts.
+
+    The similarity of a pair is at most the smaller weight over the larger one: those that can't reach SIMILARITY are left out.
+    """
+    # Buckets of the same members give the same pairs: one of them is enough.
+    alike = open_.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum"), F.sum(F.xxhash64("doc_id", "weight").cast("decimal(38,0)")).alias("again"))
+    once = open_.join(alike.groupBy("n", "sum", "again").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket", "left_semi")
+    a, b = (once.select("bucket", F.col("doc_id").alias(x), F.col("class_id").alias(f"class_{x}"), F.col("weight").alias(f"weight_{x}")) for x in "ab")
+    pairs = a.join(b.hint("merge"), "bucket").where("a < b and class_a <> class_b").where(F.least("weight_a", "weight_b") / F.greatest("weight_a", "weight_b") >= SIMILARITY)
+    return pairs.select("a", "b", (F.col("weight_a") + F.col("weight_b")).alias("asked")).distinct().join(tried, ["a", "b"], "left_anti")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, class_id (the smallest doc_id of its class), class_size, n_links (verified links) and similarity (its best link, 1 for equal words)."""
     bounded(docs.sparkSession)
@@ -168,11 +194,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member = signed.select("doc_id", "digest", "weight").join(same, ["digest", "weight"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     member = keep(member, "members")
 
-    banded = signed.where("weight > 0").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("bucket"))
+    banded = signed.where("weight > 0").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "weight", F.posexplode("bands").alias("band", "key")).select("doc_id", "weight", F.xxhash64("band", "key").alias("bucket"))
     banded = keep(banded, "bands")
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size"))
     popular = keep(banded.join(sizes, "bucket").groupBy("doc_id").agg(F.sum("size").alias("met"), F.max("size").alias("most")), "popular")
-    entries = keep(banded.join(popular, "doc_id").select("bucket", "doc_id", "met"), "buckets")
+    entries = keep(banded.join(popular, "doc_id").select("bucket", "doc_id", "weight", "met"), "buckets")
     # Texts of documents that share a bucket, shuffled once; a merge join at every size, so that disk grows as the input does.
     texts = keep(rows.join(popular.where("most > 1").select("doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
 
@@ -184,10 +210,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = components(links, keep)
     used = None
     while True:
-        # A merge join whatever the number of classes, so that what is shuffled grows as the input does.
-        placed = entries.join(classes.hint("merge"), "doc_id", "left").select("bucket", "doc_id", "met", F.coalesce("class_id", "doc_id").alias("class_id"))
-        several = placed.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high")
-        open_ = keep(placed.join(several, "bucket"), "open")
+        open_ = still_open(entries, classes, keep)
         if used is None:  # the centres of before, of the buckets that are open still
             before = open_.groupBy("bucket").agg(F.max(F.struct("met", -F.col("doc_id"))).getField("col2").alias("minus"), F.min("doc_id").alias("doc_id"))
             used = before.select("bucket", "doc_id").union(before.select("bucket", -F.col("minus")))
@@ -200,10 +223,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         found = keep(verify(fresh, texts), "verified")
         tried = tried.union(fresh)
-        if found.isEmpty():
+        hits = found.count()
+        if hits:
+            links = links.union(found)
+            classes = components(links, keep)
+            open_ = None
+        if hits * 10 < fresh.count():
             break
-        links = links.union(found)
-        classes = components(links, keep)
+    rest = keep(untried(still_open(entries, classes, keep) if open_ is None else open_, tried), "rest")
+    # In parts that ask for no more text at once than there is (or PART), so that disk grows as the input does.
+    asked, given = rest.agg(F.sum("asked")).first()[0] or 0, signed.agg(F.sum("weight")).first()[0] or 0
+    parts = -(-asked // max(PART, given))
+    for part in range(parts):
+        some = rest.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == part)
+        if part:  # without those that have come into one class
+            for end in ("a", "b"):
+                some = some.join(classes.select(F.col("doc_id").alias(end), F.col("class_id").alias(f"class_{end}")).hint("merge"), end, "left").withColumn(f"class_{end}", F.coalesce(f"class_{end}", end))
+            some = some.where("class_a <> class_b")
+        found = keep(verify(some, texts), "verified")
+        if not found.isEmpty():
+            links = links.union(found)
+            classes = components(links, keep)
     ends = links.select(F.col("a").alias("rep"), "similarity").union(links.select(F.col("b").alias("rep"), "similarity")).groupBy("rep").agg(F.count("*").alias("n_links"), F.max("similarity").alias("similarity"))
     placed = member.join(classes.select(F.col("doc_id").alias("rep"), "class_id"), "rep", "left").join(ends, "rep", "left").withColumn("class_id", F.coalesce("class_id", "rep"))
     sizes = placed.groupBy("class_id").agg(F.count("*").alias("class_size"))

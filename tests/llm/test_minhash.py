@@ -81,3 +81,37 @@ def test_repeated_rows_and_empty(spark, docs, none):
     twice = docs.union(docs.where("doc_id in (2, 9)")).withColumn("bucket", docs.source).withColumn("digest", docs.source)
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(twice).collect()} == {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
     assert minhash.near_duplicates(none).count() == 0
+
+
+def test_pairs_in_buckets_of_a_template(spark):
+    import random
+
+    r = random.Random(2)
+    base = [f"w{i}" for i in range(600)]
+
+    def changed(words, n):
+        out = list(words)
+        for at in r.sample(range(0, 600, 5), n):
+            out[at] = f"x{r.randrange(10**9)}"
+        return out
+
+    own = [changed(base, 8) for _ in range(60)]  # each two about 0.77 alike
+    own += [changed(own[i], 11) for i in range(6)]
+    texts = [" ".join(x) for x in own]
+    r.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    top = list(range(len(sets)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            both = len(sets[a] & sets[b])
+            if both / (len(sets[a]) + len(sets[b]) - both) >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                top[y] = x
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
