@@ -169,6 +169,13 @@ def group_by_product(spark, sf_dir):
     return rounded(A.group_by(df, ["l_returnflag", "l_linestatus"], "g", "product", order_by="o"), 6)
 
 
+# Factors on both sides of 1, so that the product over any number of rows stays finite.
+@query("""select l_returnflag, l_linestatus, min(l_orderkey * 10 + l_linenumber) as first_seen, round(product(1 + (l_discount - 0.05) / 1000), 6) as result from lineitem group by 1, 2 order by 3""")
+def group_by_product_all(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").withColumn("o", F.expr("l_orderkey * 10 + l_linenumber")).withColumn("g", 1 + (F.col("l_discount") - 0.05) / 1000)
+    return rounded(A.group_by(df, ["l_returnflag", "l_linestatus"], "g", "product", order_by="o"), 6)
+
+
 @query(f"""select event_id, case when upper(kind) = 'CLICK' then 'c' when kind ilike 'p%' then 'p' when kind = '' then 'blank' end as result from {EVENTS}""")
 def case_when_text(spark, sf_dir):
     return A.case_when(events(spark, sf_dir), "kind", [("click", "c"), ("p*", "p"), ("", "blank")]).select("event_id", "result")

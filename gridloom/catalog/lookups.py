@@ -25,6 +25,13 @@ def xlookup_text_first_match(spark, sf_dir):
     return L.xlookup(df.select("event_id", "kind"), "kind", keys, "key", ["found"], order_by="event_id").select("event_id", "found")
 
 
+@query(f"""select e.event_id, f.uid as found from {EVENTS} e left join (select upper(kind) as k, arg_min(user_id, event_id) as uid from {EVENTS} group by 1) f on upper(e.kind) = f.k""")
+def xlookup_text_first_match_all(spark, sf_dir):
+    df = events(spark, sf_dir)
+    keys = df.select("event_id", F.col("kind").alias("key"), F.col("user_id").alias("found"))
+    return L.xlookup(df.select("event_id", "kind"), "kind", keys, "key", ["found"], order_by="event_id").select("event_id", "found")
+
+
 @query(f"select o_orderkey, band from orders asof left join {_BANDS} on o_totalprice >= k")
 def xlookup_floor(spark, sf_dir):
     bands = spark.createDataFrame(BANDS, "k double, band string")

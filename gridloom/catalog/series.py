@@ -43,6 +43,16 @@ def running_product(spark, sf_dir):
     return rounded(S.running(df, "g", "product", order_by="event_id").select("event_id", "running"))
 
 
+# Factors and their inverses by turns, so that the product over any number of rows stays finite.
+_FACTOR = "case when event_id % 2 = 0 then 1 + val / 1e6 else 1 / (1 + val / 1e6) end as g"
+
+
+@query(f"select event_id, round(coalesce(product(g) over (order by event_id rows unbounded preceding), 0), 4) as running from (select event_id, {_FACTOR} from {EVENTS})")
+def running_product_all(spark, sf_dir):
+    df = _base(spark, sf_dir).selectExpr("event_id", _FACTOR)
+    return rounded(S.running(df, "g", "product", order_by="event_id").select("event_id", "running"))
+
+
 @query(f"select event_id, round(coalesce(sum(val) over (partition by user_id order by event_id rows unbounded preceding), 0), 3) as running from {EVENTS}")
 def running_sum_by_user(spark, sf_dir):
     return rounded(S.running(_base(spark, sf_dir), "val", "sum", order_by="event_id", partition_by=["user_id"]).select("event_id", "running"), 3)
