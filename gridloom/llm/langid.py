@@ -29,8 +29,6 @@ BINS = 1 << 16
 GRAM = 4
 SMOOTHING = 0.5
 ITERATIONS = 8
-#: Languages of a document at most; more are not told apart.
-LARGEST_SET = 3
 #: Added to a language's word count before shares are taken.
 PRIOR = 0.05
 #: Distinct languages that a model may have: it is held whole by every worker.
@@ -142,7 +140,7 @@ def infer(bins: np.ndarray, first: np.ndarray, bounds: np.ndarray, model: np.nda
             take = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in doubt])
             some, cut = likelihood[take], np.append(0, np.cumsum(words[doubt]))
             best = np.full(len(doubt), np.inf)
-            for m in range(1, min(LARGEST_SET, langs) + 1):
+            for m in range(1, langs + 1):
                 inside = np.zeros((len(doubt), langs), bool)
                 np.put_along_axis(inside, order[doubt, :m], True, axis=1)
                 own = np.where(inside, shares[doubt], 0)
@@ -154,6 +152,13 @@ def infer(bins: np.ndarray, first: np.ndarray, bounds: np.ndarray, model: np.nda
                 less = cost < best
                 best[less] = cost[less]
                 chosen[doubt[less]] = inside[less]
+                # A language more costs 2 log(words) and gains at most what is left of the misfit, which is never below 0.
+                more = np.flatnonzero(2 * m * np.log(words[doubt]) < best)
+                if not len(more):
+                    break
+                take = np.concatenate([np.arange(cut[i], cut[i + 1]) for i in more])
+                some, doubt, best = some[take], doubt[more], best[more]
+                cut = np.append(0, np.cumsum(words[doubt]))
     return shares, chosen
 
 

@@ -86,11 +86,12 @@ QUERIES = {
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; those without a letter and those without a leading language go."""
+    """Documents in languages that can be told; those without a letter go, and those of which the languages of their set hold less than 0.3 together."""
     names, model = langid.learn(docs.where(~langid.held_out()))
     own = {c: c if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)}  # no name of theirs is one of the results'
     judged = langid.identify(docs.select(*[F.col(f"`{c}`").alias(o) for c, o in own.items()]), names, model, carry=tuple(own.values()))
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.3)).select(*[F.col(o).alias(c) for c, o in own.items()])
+    told = F.aggregate("languages", F.lit(0.0), lambda total, x: total + x["share"])
+    return judged.where((F.col("lang_pred") != "und") & (told >= 0.3)).select(*[F.col(o).alias(c) for c, o in own.items()])
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

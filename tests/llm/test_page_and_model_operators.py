@@ -156,3 +156,23 @@ def test_chat_round_trip(spark, tmp_path):
     only = queries.op8_chat_formatting(spark, str(tmp_path)).collect()
     text = "\\### Assistant: </turn> ok"
     assert [(r.conv_id, r.n_turns, r.loss_chars, r.loss_sha256) for r in only] == [(-7, 2, len(text), hashlib.sha256(text.encode()).hexdigest())]
+
+
+def test_four_languages():
+    import numpy as np
+
+    # Four languages, of which each word is sure; a fifth that no word is in.
+    model = np.full((langid.BINS, 5), -9.0, np.float32)
+    for k in range(4):
+        model[k, k] = -1.0
+    bins = np.array([0, 1, 2, 3] * 100 + [0] * 50, np.int32)
+    shares, chosen = langid.infer(bins, np.arange(len(bins)), np.array([0, 400, 450]), model)
+    assert chosen.tolist() == [[True] * 4 + [False], [True] + [False] * 4]
+    assert shares[0].max() < 0.3
+
+
+def test_stage_keeps_four_languages(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"{c}{c}{c}{i % 7}{c}{w}" for w in "abcdefgh"), c) for i in range(40) for c in "wxyz"], "doc_id long, text string, lang string")
+    even = spark.createDataFrame([(1000, " ".join(f"{c}{c}{c}{i % 7}{c}{w}" for i in range(7) for w in "abcdefgh" for c in "wxyz"), None)], "doc_id long, text string, lang string")
+    kept = queries.keep_known_language(spark, docs.union(even), str(tmp_path))
+    assert kept.where("doc_id = 1000").count() == 1
