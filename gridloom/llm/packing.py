@@ -122,9 +122,9 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, pad: int =
         pool, tokens, id_type = [], 0, None
         for part in spans(batches, "text", SPAN, "bpe"):
             id_type = part.schema.field(0).type
-            encoded = own.encode_all([x or "" for x in part.column("text").to_pylist()])
-            for doc_id, raw in zip(part.column(0).to_pylist(), encoded, strict=True):
-                ids = np.frombuffer(raw, "<u4")
+            flat, cuts = own.encode_column(part.column("text"))
+            for doc_id, begin, end in zip(part.column(0).to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                ids = flat[begin:end]
                 for at in range(0, len(ids), length):
                     pool.append((doc_id, at, ids[at : at + length]))
                     tokens += min(length, len(ids) - at)

@@ -90,8 +90,8 @@ def byte_table(separators) -> np.ndarray:
 PLAIN = byte_table([0x20, *range(0x09, 0x0E)])
 #: Words are runs of ASCII letters, digits and everything beyond ASCII.
 ALNUM = byte_table([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +160,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
         piece = data[lo:hi]
         up, down = _power_tables(hi - lo)
         sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((_LOWER[piece] if lower else piece).astype(np.uint64) * up[: hi - lo] + up[: hi - lo], out=sums[1:])
+        np.cumsum((LOWER[piece] if lower else piece).astype(np.uint64) * up[: hi - lo] + up[: hi - lo], out=sums[1:])
         s, e = starts[at:stop] - lo, ends[at:stop] - lo
         out[at:stop] = (sums[e] - sums[s]) * down[s]
         at = stop
