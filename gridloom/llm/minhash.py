@@ -13,29 +13,43 @@ Signatures are banded (BANDS of ROWS coordinates). Texts that are equal in words
 class from the start. In every bucket of a band the members are linked to two centres,
 the member that shares the most buckets and the one with the smallest id: never to each
 other. Links are verified by the exact weighted Jaccard of the texts; classes are the
-connected components of the links that hold. Buckets that still hold several classes
-choose a new centre each, whose links to other classes are tried, as long as that finds
-links for a tenth of the pairs it tries. Then all pairs of members of different classes are
-tried that share a bucket still and that their weights let be similar: in the end every
-two members of a bucket are in one class or have been compared.
+connected components of the links that hold.
+
+That leaves members of different classes that share a bucket but no centre. They are not
+paired: the documents of buckets that still hold several classes go through an exact join
+by their rarest regions. With the regions of each in one order, rare ones first, the first
+region that two texts of the wanted similarity share lies within the first ninth of the
+shorter one and the first fifth of the longer one. So only pairs that share such a region,
+lie in different classes and can still reach the similarity by their weights and by what
+follows the region are verified. Texts that share a template and differ in the rest have
+their rare parts first and are no candidates, however many they are.
+
+A key with more than one in HOT of all rows (at most HOT keys can have) is salted in the
+joins by bucket, digest, representative, class, hub and region.
 
 Words are ASCII letters and digits and everything beyond ASCII, without regard to the
 case of A-Z. Texts of one to four words are one shingle. Texts without a word (null and
 empty ones too) are near to nothing: each is its own class. Rows that repeat a doc_id are
-one document; where they differ in text, the one with the smallest digest stands for it.
+one document; where they differ in text, the one with the smallest digest stands for it in
+the buckets, and a link holds if it does for any of its texts. Rows without a doc_id can't
+be named: each comes out with class_id null and no links. doc_id is of any type that can be
+ordered. Ties (a class has several smallest texts, a bucket several centres) go to the smallest
+doc_id. An empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, U, Workspace, bounded, hash_words, mixed, rolling, row_of, spans, split_words, text_bytes
+from .shared import ALNUM, U, Workspace, bounded, hash_words, hot_keys, mixed, rolling, row_of, salt, salted_join, spans, split_words, text_bytes
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: What the rarest regions of two texts of that similarity must share: overlap is at least 4/5 of the larger weight, 8/9 of the smaller, 4/9 of both.
+LONGER, SHORTER, BOTH = (4, 5), (8, 9), (4, 9)
 BANDS = 25
 ROWS = 5
 COORDINATES = BANDS * ROWS
@@ -118,6 +132,12 @@ def _sign(batches):
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest.view(np.int64)), pa.array(np.diff(bounds)), lists], names=["doc_id", "digest", "weight", "bands"])
 
 
+def _regions(batches):
+    for part in spans(batches, "text"):
+        regions, bounds, _ = weighted_regions(part.column("text"))
+        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row_of(bounds))), pa.array(regions.view(np.int64))], names=["doc_id", "region"])
+
+
 def _similarity(batches):
     """Exact weighted Jaccard of the two texts of each pair."""
     for part in spans(batches, "text_a", 1 << 20):
@@ -135,7 +155,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of documents with the similarity of their texts, those of SIMILARITY or more."""
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(one.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "text_a", "text_b")
+    both = salted_join(salted_join(pairs.select("a", "b"), one, ["a"], "b"), other, ["b"], "a", pairs).select("a", "b", "text_a", "text_b")
     kind = pairs.schema["a"].dataType.simpleString()
     return both.mapInArrow(_similarity, f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= SIMILARITY).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
@@ -151,9 +171,10 @@ def components(links: DataFrame, keep: Workspace) -> DataFrame:
     while True:
         ways = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = ways.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = salted_join(ways, least, ["u"], "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = keep(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = salted_join(large, low, ["u"], "v").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         edges = keep(small, "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
@@ -161,25 +182,33 @@ def components(links: DataFrame, keep: Workspace) -> DataFrame:
         seen = now
 
 
-def still_open(entries: DataFrame, classes: DataFrame, keep: Workspace) -> DataFrame:
-    """Entries of the buckets that hold several classes, with the class of each."""
-    # A merge join whatever the number of classes, so that what is shuffled grows as the input does.
-    placed = entries.join(classes.hint("merge"), "doc_id", "left").select("bucket", "doc_id", "weight", "met", F.coalesce("class_id", "doc_id").alias("class_id"))
-    several = placed.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high")
-    return keep(placed.join(several, "bucket"), "open")
+def _beyond(weight, share: tuple[int, int]):
+    """The last place, from 0, at which the first shared region may lie for an overlap of that share of the weight."""
+    return weight - F.floor((weight * share[0] + share[1] - 1) / share[1])
 
 
-def untried(open_: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes that share a bucket and are not tried, with the weight of their texts.
-
-    The similarity of a pair is at most the smaller weight over the larger one: those that can't reach SIMILARITY are left out.
-    """
-    # Buckets of the same members give the same pairs: one of them is enough.
-    alike = open_.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum"), F.sum(F.xxhash64("doc_id", "weight").cast("decimal(38,0)")).alias("again"))
-    once = open_.join(alike.groupBy("n", "sum", "again").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket", "left_semi")
-    a, b = (once.select("bucket", F.col("doc_id").alias(x), F.col("class_id").alias(f"class_{x}"), F.col("weight").alias(f"weight_{x}")) for x in "ab")
-    pairs = a.join(b.hint("merge"), "bucket").where("a < b and class_a <> class_b").where(F.least("weight_a", "weight_b") / F.greatest("weight_a", "weight_b") >= SIMILARITY)
-    return pairs.select("a", "b", (F.col("weight_a") + F.col("weight_b")).alias("asked")).distinct().join(tried, ["a", "b"], "left_anti")
+def rare_pairs(open_: DataFrame, texts: DataFrame, keep: Workspace) -> DataFrame:
+    """Pairs (a, b) of documents (doc_id, class_id, weight) in different classes that may reach SIMILARITY by their rarest regions, with the weight of both."""
+    regions = keep(texts.join(open_.select("doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(_regions, texts.select("doc_id", F.lit(0).cast("bigint").alias("region")).schema).distinct(), "regions")
+    counts = regions.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
+    common = salted_join(regions, counts, ["region"], "doc_id")
+    own = Window.partitionBy("doc_id")
+    # Regions of one text alone come first and meet nobody: they only shift the places of the others.
+    placed = common.withColumn("rank", F.row_number().over(own.orderBy("n", "region"))).withColumn("many", F.count("*").over(own))
+    placed = placed.join(open_.hint("merge"), "doc_id").withColumn("place", F.col("weight") - F.col("many") + F.col("rank") - 1)
+    prefixes = keep(placed.where(F.col("place") <= _beyond(F.col("weight"), LONGER)).select("region", "doc_id", "class_id", "weight", "place"), "prefixes")
+    hot = hot_keys(prefixes, ["region"])
+    a, b = (
+        side.select("region", "salt", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "class_id", "weight", "place")])
+        for x, side in (
+            ("a", prefixes.where(F.col("place") <= _beyond(F.col("weight"), SHORTER)).withColumn("salt", F.explode(salt(["region"], hot)))),
+            ("b", prefixes.withColumn("salt", salt(["region"], hot, "doc_id"))),
+        )
+    )
+    shorter = "weight_a < weight_b or weight_a = weight_b and doc_id_a < doc_id_b"
+    least = f"{BOTH[1]} * least(weight_a - place_a, weight_b - place_b) >= {BOTH[0]} * (weight_a + weight_b)"
+    pairs = a.join(b.hint("merge"), ["region", "salt"]).where(f"class_id_a <> class_id_b and ({shorter}) and {LONGER[1]} * weight_a >= {LONGER[0]} * weight_b and {least}")
+    return pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"), (F.col("weight_a") + F.col("weight_b")).alias("asked")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -188,64 +217,51 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keep = Workspace()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = rows.mapInArrow(_sign, f"doc_id {kind}, digest long, weight long, bands array<bigint>")
-    signed = keep(signed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("digest", "weight", "bands")).alias("s")).select("doc_id", "s.*"), "signatures")
-    same = signed.where("weight > 0").groupBy("digest", "weight").agg(F.min("doc_id").alias("rep"))
-    member = signed.select("doc_id", "digest", "weight").join(same, ["digest", "weight"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    member = keep(member, "members")
-
-    banded = signed.where("weight > 0").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "weight", F.posexplode("bands").alias("band", "key")).select("doc_id", "weight", F.xxhash64("band", "key").alias("bucket"))
-    banded = keep(banded, "bands")
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("size"))
-    popular = keep(banded.join(sizes, "bucket").groupBy("doc_id").agg(F.sum("size").alias("met"), F.max("size").alias("most")), "popular")
-    entries = keep(banded.join(popular, "doc_id").select("bucket", "doc_id", "weight", "met"), "buckets")
+    named = rows.where(F.col("doc_id").isNotNull())
+    signed = named.mapInArrow(_sign, f"doc_id {kind}, digest long, weight long, bands array<bigint>")
+    signed = keep(signed.groupBy("doc_id").agg(F.min(F.struct("digest", "weight", "bands")).alias("s")).select("doc_id", "s.*"), "signatures")
+    told = signed.select("doc_id", "digest", "weight")
+    same = told.where("weight > 0").groupBy("digest", "weight").agg(F.min("doc_id").alias("rep"))
+    member = keep(salted_join(told, same, ["digest", "weight"], "doc_id", how="left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "members")
+
+    reps = signed.where("weight > 0").join(member.where("doc_id = rep").select("doc_id").hint("merge"), "doc_id", "left_semi")
+    banded = keep(reps.select("doc_id", "weight", F.posexplode("bands").alias("band", "key")).select("doc_id", "weight", F.xxhash64("band", "key").alias("bucket")), "bands")
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = keep(salted_join(banded, sizes, ["bucket"], "doc_id"), "shared")
+    popular = shared.groupBy("doc_id").agg(F.sum("size").alias("met"))
+    entries = keep(shared.select("bucket", "doc_id", "weight").join(popular.hint("merge"), "doc_id"), "buckets")
     # Texts of documents that share a bucket, shuffled once; a merge join at every size, so that disk grows as the input does.
-    texts = keep(rows.join(popular.where("most > 1").select("doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
+    texts = keep(named.join(popular.select("doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
 
-    centres = entries.groupBy("bucket").agg(F.max(F.struct("met", -F.col("doc_id"))).getField("col2").alias("minus"), F.min("doc_id").alias("low"))
-    near = entries.join(centres, "bucket")
-    pairs = near.select(F.col("doc_id").alias("a"), F.explode(F.array(-F.col("minus"), F.col("low"))).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = keep(pairs, "pairs")
-    links = keep(verify(tried, texts), "verified")
+    centres = entries.groupBy("bucket").agg(F.min(F.struct((-F.col("met")).alias("met"), "doc_id")).getField("doc_id").alias("hub"), F.min("doc_id").alias("low"))
+    near = salted_join(entries.select("bucket", "doc_id"), centres, ["bucket"], "doc_id")
+    pairs = near.select(F.col("doc_id").alias("a"), F.explode(F.array("hub", "low")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = keep(verify(keep(pairs, "pairs"), texts), "verified")
     classes = components(links, keep)
-    used = None
-    while True:
-        open_ = still_open(entries, classes, keep)
-        if used is None:  # the centres of before, of the buckets that are open still
-            before = open_.groupBy("bucket").agg(F.max(F.struct("met", -F.col("doc_id"))).getField("col2").alias("minus"), F.min("doc_id").alias("doc_id"))
-            used = before.select("bucket", "doc_id").union(before.select("bucket", -F.col("minus")))
-        left = open_.join(used, ["bucket", "doc_id"], "left_anti")
-        centre = keep(left.groupBy("bucket").agg(F.max(F.struct("met", -F.col("doc_id"), "class_id")).alias("c")).select("bucket", (-F.col("c.col2")).alias("centre"), F.col("c.class_id").alias("own")), "centres")
-        used = used.union(centre.select("bucket", "centre"))
-        more = open_.join(centre, "bucket").where("class_id <> own").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-        fresh = keep(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            break
-        found = keep(verify(fresh, texts), "verified")
-        tried = tried.union(fresh)
-        hits = found.count()
-        if hits:
-            links = links.union(found)
-            classes = components(links, keep)
-            open_ = None
-        if hits * 10 < fresh.count():
-            break
-    rest = keep(untried(still_open(entries, classes, keep) if open_ is None else open_, tried), "rest")
+
+    # Documents of the buckets that still hold several classes.
+    placed = salted_join(entries, classes, ["doc_id"], "bucket", how="left").select("bucket", "doc_id", "weight", F.coalesce("class_id", "doc_id").alias("class_id"))
+    several = placed.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high").select("bucket")
+    open_ = keep(salted_join(placed, several, ["bucket"], "doc_id").select("doc_id", "class_id", "weight").distinct(), "open")
+    rest = keep(rare_pairs(open_, texts, keep), "rest")
     # In parts that ask for no more text at once than there is (or PART), so that disk grows as the input does.
     asked, given = rest.agg(F.sum("asked")).first()[0] or 0, signed.agg(F.sum("weight")).first()[0] or 0
     parts = -(-asked // max(PART, given))
-    for part in range(parts):
-        some = rest.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == part)
-        if part:  # without those that have come into one class
-            for end in ("a", "b"):
-                some = some.join(classes.select(F.col("doc_id").alias(end), F.col("class_id").alias(f"class_{end}")).hint("merge"), end, "left").withColumn(f"class_{end}", F.coalesce(f"class_{end}", end))
-            some = some.where("class_a <> class_b")
-        found = keep(verify(some, texts), "verified")
-        if not found.isEmpty():
-            links = links.union(found)
-            classes = components(links, keep)
+    found = [keep(verify(rest.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == part), texts), "verified") for part in range(parts)]
+    found = [more for more in found if not more.isEmpty()]
+    if found:
+        for more in found:
+            links = links.union(more)
+        classes = components(links, keep)
+
+    # All that a document gets is known of its representative; the sizes of classes are sums over representatives.
     ends = links.select(F.col("a").alias("rep"), "similarity").union(links.select(F.col("b").alias("rep"), "similarity")).groupBy("rep").agg(F.count("*").alias("n_links"), F.max("similarity").alias("similarity"))
-    placed = member.join(classes.select(F.col("doc_id").alias("rep"), "class_id"), "rep", "left").join(ends, "rep", "left").withColumn("class_id", F.coalesce("class_id", "rep"))
-    sizes = placed.groupBy("class_id").agg(F.count("*").alias("class_size"))
+    copies = member.groupBy("rep").agg(F.count("*").alias("copies"))
+    known = copies.join(classes.select(F.col("doc_id").alias("rep"), "class_id").hint("merge"), "rep", "left").join(ends.hint("merge"), "rep", "left").withColumn("class_id", F.coalesce("class_id", "rep"))
+    known = keep(known, "representatives")
+    sized = salted_join(known, known.groupBy("class_id").agg(F.sum("copies").alias("class_size")), ["class_id"], "rep")
+    all_ = salted_join(member, keep(sized, "sized"), ["rep"], "doc_id")
     best = F.when(F.col("doc_id") != F.col("rep"), F.lit(1.0)).otherwise(F.coalesce("similarity", F.when(F.col("class_size") > 1, F.lit(1.0))))
-    return keep.finish(placed.join(sizes, "class_id").select("doc_id", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), best.alias("similarity")), "classes")
+    out = all_.select("doc_id", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), best.alias("similarity"))
+    nameless = rows.where(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(0).cast("bigint").alias("n_links"), F.lit(None).cast("double").alias("similarity"))
+    return keep.finish(out.union(nameless), "classes")

@@ -18,7 +18,8 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -79,6 +80,34 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: A key is hot if it has more than one in HOT of all rows; so there are fewer than HOT of them. A hot key is dealt to SALTS tasks.
+HOT, SALTS = 1000, 32
+
+
+def hot_keys(rows: DataFrame, keys: list[str]) -> list[int]:
+    """Hashes of the keys that more than one in HOT of all rows have: fewer than HOT numbers, whatever the table holds."""
+    least = rows.count() // HOT + 1
+    return [r[0] for r in rows.groupBy(F.xxhash64(*keys).alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > least).select("key").collect()]
+
+
+def salt(keys: list[str], hot: list[int], deal: str | None = None) -> Column:
+    """Of a row with a hot key one of SALTS numbers, by the column ``deal``, or all of them in an array; 0 for other keys."""
+    own = F.pmod(F.xxhash64(deal), F.lit(SALTS)).cast("int") if deal else F.sequence(F.lit(0), F.lit(SALTS - 1))
+    return F.when(F.xxhash64(*keys).isin(hot), own).otherwise(F.lit(0) if deal else F.array(F.lit(0)))
+
+
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], deal: str, counted: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """Joins rows to a table with one row a key; rows of hot keys are dealt to several tasks by the column ``deal``.
+
+    ``counted`` holds the keys of ``many`` where that is dearer to read. A merge join at every size, so that what is shuffled grows as the input does.
+    """
+    hot = hot_keys(many if counted is None else counted, keys)
+    if not hot:
+        return many.join(one.hint("merge"), keys, how)
+    left, right = many.withColumn("_salt", salt(keys, hot, deal)), one.withColumn("_salt", F.explode(salt(keys, hot)))
+    return left.join(right.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+
+
 def byte_table(separators) -> np.ndarray:
     """True for the bytes that belong to words."""
     out = np.ones(256, bool)

@@ -81,6 +81,31 @@ def test_repeated_rows_and_empty(spark, docs, none):
     twice = docs.union(docs.where("doc_id in (2, 9)")).withColumn("bucket", docs.source).withColumn("digest", docs.source)
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(twice).collect()} == {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
     assert minhash.near_duplicates(none).count() == 0
+    lost = docs.union(docs.where("doc_id in (2, 9)").selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "n_chars"))
+    got = [r for r in minhash.near_duplicates(lost).collect() if r.doc_id is None]
+    assert [(r.class_id, r.class_size, r.n_links, r.similarity) for r in got] == [(None, 1, 0, None)] * 2
+
+
+def test_hot_keys_are_dealt(spark, docs, corpus, monkeypatch):
+    """Every key that occurs twice is hot, and dealt to several tasks: the classes stay what they are."""
+    from gridloom.llm import shared
+
+    monkeypatch.setattr(shared, "HOT", 10**9)
+    monkeypatch.setattr(minhash, "PART", 200)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs.union(docs)).collect()}
+    assert got == classes(corpus)
+
+
+def test_ids_of_any_kind(spark, corpus):
+    df = spark.createDataFrame([(f"d{i:03}", t) for i, t in corpus], "doc_id string, text string")
+    assert {int(r.doc_id[1:]): int(r.class_id[1:]) for r in minhash.near_duplicates(df).collect()} == classes(corpus)
+
+
+def test_table_against_all_pairs(spark):
+    """The documents of a test table: classes equal those of brute force."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    corpus = [(r.doc_id, r.text) for r in docs.collect()]
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()} == classes(corpus)
 
 
 def test_pairs_in_buckets_of_a_template(spark):
