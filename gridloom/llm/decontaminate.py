@@ -13,18 +13,22 @@ and holds back document fingerprints that can't match before they are shuffled.
 only saves work: a full bitmap lets everything through and the join decides.
 
 Null and empty texts have no words: n_words 0, not contaminated. Items without words
-match nothing. Repeated rows of the benchmark count once per item_id; documents with
-the same doc_id are taken as they are, one result per row's doc_id and text pair.
+match nothing. Repeated rows of the benchmark count once per item_id; an item without an
+item_id counts for n_hit and is in no list. Every row of the documents has a row of its own
+in the result, whether others have its doc_id (or none) and text or not. Very long texts are
+read piece by piece of the batch they come in, whole all the same. An empty benchmark hits
+nothing, an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, U, bounded, hash_words, materialize, mixed, rolling, spans, split_words, text_bytes
+from .shared import ALNUM, U, bounded, hash_words, materialize, mixed, rolling, salted_join, spans, split_words, text_bytes
 
 WINDOW = 13
 GRAM = 7
@@ -107,6 +111,7 @@ def _bitmap(windows: DataFrame) -> bytes:
 def _document_hits(bitmap, lengths: list[int], key: str):
     def run(batches):
         bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).view(bool)
+        number = TaskContext.get().partitionId() << 40
         for part in spans(batches, "text"):
             data, offsets = text_bytes(part.column("text"))
             starts, ends, bounds = split_words(data, offsets, ALNUM)
@@ -135,7 +140,8 @@ def _document_hits(bitmap, lengths: list[int], key: str):
             per_hit = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), wins)
             hit = pa.StructArray.from_arrays([pa.array(fp[first]), per_hit], names=["fp", "wins"])
             per_row = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[first], np.arange(part.num_rows + 1)).astype(np.int32)), hit)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), per_row], names=[key, "n_words", "hits"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + part.num_rows)), part.column(0), pa.array(np.diff(bounds)), per_row], names=["row", key, "n_words", "hits"])
+            number += part.num_rows
 
     return run
 
@@ -147,7 +153,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded(spark)
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where(F.col("item_id").isNotNull())
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     id_type = items.schema["item_id"].dataType.simpleString()
     windows = materialize(items.mapInArrow(_item_windows, f"item_id {id_type}, length int, fp long, o int, h1 long, h2 long"), "benchmark-windows")
     lengths = sorted(r[0] for r in windows.where(F.col("length") < WINDOW).select("length").distinct().collect())  # at most 12
@@ -157,20 +163,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     doc_type = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(_document_hits(bitmap, lengths, "doc_id"), f"doc_id {doc_type}, n_words long, hits {_HITS}")
-    # Rows without a hit get a key of their own, so that no partition gathers them.
-    hits = found.select("doc_id", "n_words", F.explode_outer("hits").alias("hit")).select("doc_id", "n_words", F.coalesce("hit.fp", F.xxhash64("doc_id")).alias("fp"), F.col("hit.wins").alias("wins"))
-    joined = hits.join(tests, "fp", "left").select(
+    # Rows are numbered and written: the numbers must not change if a part of the job runs again.
+    found = materialize(rows.mapInArrow(_document_hits(bitmap, lengths, "doc_id"), f"row long, doc_id {doc_type}, n_words long, hits {_HITS}"), "document-hits")
+    hits = found.where(F.size("hits") > 0).select("row", "doc_id", "n_words", F.explode("hits").alias("hit")).select("row", "doc_id", "n_words", "hit.fp", "hit.wins")
+    joined = salted_join(hits, tests, ["fp"], "row", how="left").select(
+        "row",
         "doc_id",
         "n_words",
         F.expr("""flatten(transform(wins, w -> transform(
             filter(coalesce(tests, array()), t -> t.o = w.o and t.h1 = w.h1 and t.h2 = w.h2),
             t -> struct(w.at as at, w.at + t.length as upto, t.items as items))))""").alias("matches"),
     )
-    per_doc = joined.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("matches")).alias("matches"))
+    per_row = joined.groupBy("row", "doc_id", "n_words").agg(F.flatten(F.collect_list("matches")).alias("matches"))
     covered = F.expr("""aggregate(array_sort(array_distinct(transform(matches, m -> struct(m.at as at, m.upto as upto)))),
         struct(0L as n, 0 as upto),
         (s, m) -> struct(s.n + greatest(0, m.upto - greatest(m.at, s.upto)) as n, greatest(s.upto, m.upto) as upto),
         s -> s.n)""")
-    out = per_doc.select("doc_id", "n_words", covered.alias("n_hit"), F.expr("array_sort(array_distinct(flatten(transform(matches, m -> m.items))))").alias("items"))
+    hit = per_row.select("doc_id", "n_words", covered.alias("n_hit"), F.expr("array_sort(array_distinct(flatten(transform(matches, m -> m.items))))").alias("items"))
+    out = found.where(F.size("hits") == 0).select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_hit"), F.array().cast("array<string>").alias("items")).union(hit)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
