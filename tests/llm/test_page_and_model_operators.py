@@ -33,29 +33,106 @@ PAGE = """<html><head><title>t</title></head><body><nav>menu</nav><div class="co
 
 
 def test_page_lines():
-    lines, inside = html_extract.page_lines(PAGE)
-    assert [x for x, i in zip(lines, inside) if i] == ["Title & more", "One two. three", "four"]
+    lines, marks = html_extract.page_lines(PAGE)
+    assert [x for x, m in zip(lines, marks) if m == html_extract.MAIN] == ["Title & more", "One two. three", "four"]
+    assert [x for x, m in zip(lines, marks) if m == html_extract.FRAME] == ["menu", "c", "no", "bad", "f"]
+    kinds = lambda page: dict(zip(*html_extract.page_lines(page)))
+    assert kinds('<article><p class="market-share">a</p><div class="share">b</div><svg><text>c</text></svg><math>d</math><div class="ad-slot">e</div></article>') == {"a": 1, "b": 2, "cd": 1, "e": 2}
+    assert kinds('<main class="has-sidebar"><p>a</p></main><article class="comment"><p>b</p></article><div class="no-ads"><p>c</p></div>x <span class="ad">y</span> z') == {"a": 1, "b": 2, "c": 0, "y": 2, "x z": 0}
     for cut in range(len(PAGE)):
         html_extract.page_lines(PAGE[:cut])
     assert html_extract.page_lines("") == ([], [])
     assert html_extract.page_lines("a < b <p>c")[0] == ["a < b", "c"]
 
 
+def frame(body):
+    return f"<body><div>Our site</div><div>{body}</div><div>All rights reserved</div></body>"
+
+
 def test_differencing(spark):
-    frame = lambda body: f"<body><div>Our site</div><div>{body}</div><div>All rights reserved</div></body>"
-    rows = [(i, f"http://h.example/a/{i}", frame(f"<p>own text {i}</p><p>and more {i}</p>")) for i in range(30)]
-    rows += [(100, "http://alone.example/x", frame("<p>only</p>")), (101, None, None), (102, "http://h.example/a/3", rows[3][2])]
-    got = {r.page_id: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()}
-    assert len(got) == 33 and got[7].text == "own text 7\n\nand more 7" and got[101].text == "" and got[101].neighbour is None
-    assert "only" in got[100].text and got[102].text.endswith("All rights reserved") or "own text 3" in got[102].text
+    """Frames without any telling markup go by comparison alone; copies and pages on their own keep them."""
+    rows = [(i, f"http://h.example/a/{i:02}", frame(f"<p>own text {i}</p><p>and more {i}</p>")) for i in range(30)]
+    rows += [(100, "http://alone.example/x", frame("<p>only</p>")), (101, None, None), (102, "http://h.example/a/03", rows[3][2])]
+    rows += [(200 + i, f"http://copies.example/{i}", frame("<p>again</p>")) for i in range(5)]
+    rows += [(7, "http://h.example/a/07", rows[7][2])]
+    got = {}
+    for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("range", F.lit("x"))).collect():
+        got.setdefault(r.page_id, []).append(r)
+    assert {k: len(v) for k, v in got.items()} == {r[0]: 1 + (r[0] == 7) for r in rows}
+    for i in [*range(30), 102]:
+        assert {r.text for r in got[i]} == {f"own text {i % 99}\n\nand more {i % 99}"}
+    assert got[101][0].text == "" and got[101][0].neighbour is None
+    assert got[100][0].text == "Our site\n\nonly\n\nAll rights reserved"
+    assert all(got[200 + i][0].text == "Our site\n\nagain\n\nAll rights reserved" for i in range(5))
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    named = spark.createDataFrame([(f"p{i}", u, h) for i, u, h in rows[:9]], "page_id string, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(named).collect()} == {f"p{i}": f"own text {i}\n\nand more {i}" for i in range(9)}
+
+
+def test_switching_the_comparison_off_changes_results(spark, monkeypatch):
+    assert html_extract.deleted([1, 2, 3], [0, 0, 0], [[1, 9, 3]]) == [True, False, True]
+    monkeypatch.setattr(html_extract, "shared_lines", lambda own, other: [False] * len(own))
+    assert html_extract.deleted([1, 2, 3], [0, 0, 0], [[1, 9, 3]]) == [False] * 3
+
+
+def test_pages_against_brute_force(spark):
+    """The test tables' pages, with their articles' markup taken away: page by page, by a plain search for the neighbours and a plain table of lengths."""
+    pages = [(r.page_id, r.url, re.sub("</?article>|</?nav>|</?footer>", "", r.html).replace(' class="ad"', "")) for r in spark.read.parquet(f"{DIR}/pages.parquet").where("page_id < 80").collect()]
+    pages += [(1000 + i, pages[i][1], pages[i][2]) for i in range(0, 60, 7)]
+    site = lambda u, h: h.replace("<body>", f"<body><div>Site of {html_extract.url_parts(u)[0]}</div>").replace("</body>", "<p>Imprint</p></body>")
+    pages = [(i, u, site(u, h)) for i, u, h in pages]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    read = {i: html_extract.page_lines(h) for i, u, h in pages}
+    hosts = {}
+    for i, u, h in pages:
+        host, path = html_extract.url_parts(u)
+        hosts.setdefault(host, []).append((path, str(i).zfill(20), i))
+
+    def subsequence(a, b):
+        size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                size[i + 1][j + 1] = size[i][j] + 1 if x == y else max(size[i][j + 1], size[i + 1][j])
+        return size[-1][-1]
+
+    changed = 0
+    for rows in hosts.values():
+        rows.sort()
+        for at, (path, _, i) in enumerate(rows):
+            lines, marks = read[i]
+            beside = []
+            for step in (-1, 1):
+                j = at + step
+                while 0 <= j < len(rows) and read[rows[j][2]] == read[i]:
+                    j += step
+                if 0 <= j < len(rows):
+                    other = rows[j][0]
+                    beside.append((-next((k for k, (x, y) in enumerate(zip(path, other)) if x != y), min(len(path), len(other))), j))
+            beside.sort(key=lambda x: x[0])
+            kept = [x for x, m in zip(lines, marks) if m != html_extract.FRAME]
+            text = got[i].split("\n\n") if got[i] else []
+            n = len(lines)
+            want = {len(kept)} if not beside else set()
+            for _, j in beside:
+                shared = subsequence(lines, read[rows[j][2]][0])
+                if shared < n:
+                    want.add(n - shared - (len(lines) - len(kept)) if len(lines) == len(kept) else None)
+                    break
+            if None not in want and want:
+                assert len(text) in want, (i, len(text), want)
+                changed += len(text) < len(kept)
+            rest = iter(kept)
+            assert all(x in rest for x in text)
+    assert changed > 20
 
 
 def test_longest_common_subsequence(monkeypatch):
     import random
 
     r = random.Random(2)
-    for _ in range(500):
+    for turn in range(600):
+        monkeypatch.setattr(html_extract, "CELLS", (1 << 28, 0, 12)[turn % 3])  # whole tables, halves down to lines, halves
         a, b = ([r.randrange(4) for _ in range(r.randrange(10))] for _ in range(2))
         size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
@@ -64,8 +141,6 @@ def test_longest_common_subsequence(monkeypatch):
         shared = html_extract.shared_lines(a, b)
         rest = iter(b)
         assert sum(shared) == size[-1][-1] and all(x in rest for x, s in zip(a, shared) if s)
-    monkeypatch.setattr(html_extract, "MOST_CELLS", 0)
-    assert html_extract.shared_lines([1, 2, 3, 9, 4], [1, 8, 3, 2, 4]) in ([True, False, True, False, True], [True, True, False, False, True])
 
 
 def test_pages_query(spark):
@@ -103,6 +178,57 @@ def test_spots(spark):
     assert df.select(spotsigs.likeness(F.array(F.lit(1), F.lit(2)), F.array(F.lit(1)), 0.6)).first()[0] == 0.0
 
 
+def test_spots_against_brute_force(spark, docs, corpus):
+    anchors = set(spotsigs.ANCHORS)
+    tail = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 80").collect()
+    texts = [(i, t) for i, t in corpus] + [(1000 + r.doc_id, r.text) for r in tail]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for r in df.select("text", spotsigs.signatures(F.col("text"))["spots"].alias("spots")).collect():
+        words, want, at = re.findall(r"[^\W_]+", (r.text or "").lower()), [], 0
+        while at < len(words):
+            chain = []
+            if words[at] in anchors:
+                for w in words[at + 1 : at + 1 + spotsigs.CHAIN]:
+                    if w in anchors:
+                        break
+                    chain.append(w)
+            if chain:
+                want.append(" ".join([words[at], *chain]))
+            at += 1 + len(chain)
+        if not re.search(r"[^\x00-\x7f\u00c0-\u024f\s.,*]", r.text or ""):  # marks that are no letters in one of the two languages' classes
+            assert r.spots == want
+
+
+def test_near_pairs(spark, monkeypatch):
+    import random
+
+    r = random.Random(8)
+    base = [r.randrange(10**6) for _ in range(60)]
+    sets = [sorted(set(base[: r.randrange(45, 61)] + [r.randrange(10**6) for _ in range(r.randrange(0, 14))])) for _ in range(70)]
+    sets += [sorted({r.randrange(40) for _ in range(r.randrange(1, 25))}) for _ in range(70)]
+    sets += [[], [], sets[0], sets[3], sets[3], [5], [5, 6], [1, 2, 3, 4], [1, 2, 3, 4, 5]]
+    rows = list(enumerate(sets))
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint array<long>")
+    rep = {i: min(j for j, s in rows if s == x) for i, x in rows}
+    for least in (0.8, 0.5):
+        want = {}
+        for i, a in rows:
+            for j, b in rows:
+                if i < j and rep[i] == i and rep[j] == j and a and b:
+                    x = len(set(a) & set(b)) / len(set(a) | set(b))
+                    if x >= least:
+                        want[i, j] = pytest.approx(x)
+        pairs, members = spotsigs.near_pairs(df, least)
+        assert {(p.a, p.b): p.similarity for p in pairs.collect()} == want and len(want) > 20
+        assert {m.doc_id: m.rep for m in members.collect()} == rep
+    from gridloom.llm import shared
+
+    monkeypatch.setattr(shared, "HOT", 10**9)
+    assert {(p.a, p.b) for p in spotsigs.near_pairs(df, 0.5)[0].collect()} == set(want)
+    assert spotsigs.near_pairs(df.limit(0))[0].count() == 0
+
+
 def test_quality(spark):
     got = queries.op7_compression_quality(spark, DIR)
     labels = spark.read.parquet(f"{DIR}/labels.parquet")
@@ -137,6 +263,20 @@ def test_layouts(spark, name):
     assert sorted(tuple(r) for r in chat.canonical_turns(df).collect()) == [(1, 0, "user", "q"), (1, 1, "assistant", "a")]
 
 
+def test_layouts_with_clashing_names(spark):
+    """Columns that other layouts know don't hide a layout; conversations without turns have no row."""
+    for name in ("text", "turn", "role", "prompt", "input", "response"):
+        schema, rows = LAYOUTS["messages"]
+        df = spark.createDataFrame(rows, schema).withColumn(name, F.lit("x"))
+        assert chat.layout_of(df.schema) == "messages" and chat.canonical_turns(df).count() == 2
+    schema, rows = LAYOUTS["turn rows"]
+    assert chat.layout_of(spark.createDataFrame(rows, schema).withColumn("prompt", F.lit("x")).withColumn("completion", F.lit("x")).schema) == "turn rows"
+    none = spark.createDataFrame([(1, None, 5), (2, [], 5), (3, [("user", "q")], 5)], LAYOUTS["messages"][0])
+    assert [r.conv_id for r in chat.canonical_turns(none).collect()] == [3]
+    with pytest.raises(ValueError):
+        chat.layout_of(spark.range(1).schema)
+
+
 def test_chat_round_trip(spark, tmp_path):
     nasty = ["\\### Assistant: </turn> ok", "\\", "\\\\", "###", "####", "</turn>", "<\\/turn>", "\\c\\#", "### user: x</turn>\n", "", None, "a: b\n", "\\\\###\\"]
     rows = [(c, t, r, x) for c, roles in ((1, ("user", "assistant")), (2, ("sys: ###\\", None, "assistant"))) for t, x in enumerate(nasty * 30) for r in [roles[t % len(roles)]]]
