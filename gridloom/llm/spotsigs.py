@@ -4,21 +4,35 @@ A spot is an occurrence of an anchor, a very common word; its signature is the a
 with the chain of up to CHAIN content words that follow before the next anchor. The set of
 all signatures of a text, hashed, is its fingerprint: frequent in prose, rare in menus and
 lists. A text without a spot has its own words for signatures. Fingerprints are compared
-by Jaccard similarity, pruned by set length: sets of which the smaller can't reach a
-threshold share of the larger are not intersected.
+by Jaccard similarity.
+
+``near_pairs`` finds all pairs of different fingerprints that reach a threshold. Sets are
+partitioned by length, in steps of the threshold: two sets that reach it lie in the same or
+in neighbouring partitions. Within these the rarest signatures are joined, as many of each
+set as must hold a shared one; what the lengths and the places of the shared signature keep
+under the threshold is pruned, and what is left is intersected. Equal fingerprints are one
+set, with a table of its members beside. No pairs are formed within groups but those that
+share a rare signature; signatures with many sets are dealt to several tasks.
+
+``compare_with_edits`` compares each document with two given texts, so there nothing is to
+be searched, and likenesses are exact, without a threshold.
 
 Words are runs of letters and digits, without regard to case. Null counts as empty; an
 empty text has an empty fingerprint, equal (1) to another empty one and unlike (0) any
 other. Equal texts have equal fingerprints. Documents follow each other by doc_id, then
-text; a null doc_id comes first, and the last document is followed by the first.
+text (equal rows in any order, which changes nothing); a null doc_id comes first, and the
+last document is followed by the first; a document alone follows itself. An empty table gives
+an empty result, other columns are not read, and texts are taken whole at any length.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import slots
+from .shared import Workspace, hot_keys, salt, salted_join, slots
 
 CHAIN = 3
 #: Anchors.
@@ -56,6 +70,40 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(large == 0, F.lit(1.0)).when((small == 0) | (small < large * F.lit(least)), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+def near_pairs(prints: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """All pairs (a, b, similarity) of different fingerprints of likeness ``least`` or more, and the members (doc_id, rep) of each.
+
+    ``prints`` has doc_id and fingerprint; a fingerprint stands under the smallest doc_id that has it, its rep. Empty ones are near to none.
+    """
+    keep = Workspace()
+    prints = keep(prints.where("doc_id is not null").select("doc_id", "fingerprint", F.xxhash64("fingerprint").alias("digest")), "prints")
+    same = prints.groupBy("digest", "fingerprint").agg(F.min("doc_id").alias("rep"))
+    members = keep(salted_join(prints.select("doc_id", "digest", "fingerprint"), same, ["digest", "fingerprint"], "doc_id").select("doc_id", "rep"), "members")
+    sets = keep(same.where(F.size("fingerprint") > 0).select(F.col("rep").alias("doc_id"), "fingerprint", F.size("fingerprint").alias("size")), "sets")
+    # The length partition: sizes that differ by less than the threshold's factor lie in one or in neighbours.
+    step = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(least)) + 1e-9)
+    spread = sets.select("doc_id", "size", step.alias("part"), F.explode("fingerprint").alias("signature"))
+    counts = spread.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1")
+    own = Window.partitionBy("doc_id")
+    # Signatures of one set alone come first and meet nobody: they only shift the places of the others.
+    placed = salted_join(spread, counts, ["signature"], "doc_id").withColumn("place", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "signature")) - 1)
+    both = least / (1 + least)
+    bound = lambda share: F.col("size") - F.ceil(F.col("size") * F.lit(share) - 1e-9)
+    entries = keep(placed.where(F.col("place") <= bound(least)).select("signature", "part", "doc_id", "size", "place"), "entries")
+    hot = hot_keys(entries, ["signature"])
+    small = entries.where(F.col("place") <= bound(2 * both)).withColumn("salt", F.explode(salt(["signature"], hot)))
+    large = entries.withColumn("salt", salt(["signature"], hot, "doc_id")).withColumn("near", F.explode(F.array("part", F.col("part") - 1)))
+    left = small.select("signature", "salt", "part", F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"))
+    right = large.select("signature", "salt", F.col("near").alias("part"), F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
+    shorter = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
+    reach = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + 1e-9 >= (F.col("size_a") + F.col("size_b")) * F.lit(both)
+    pairs = keep(left.join(right.hint("merge"), ["signature", "salt", "part"]).where(shorter & (F.col("size_a") + 1e-9 >= F.col("size_b") * F.lit(least)) & reach).select("a", "b").distinct(), "pairs")
+    for end in ("a", "b"):
+        pairs = salted_join(pairs, sets.select(F.col("doc_id").alias(end), F.col("fingerprint").alias(f"print_{end}")), [end], "b" if end == "a" else "a")
+    found = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), likeness(F.col("print_a"), F.col("print_b"), least).alias("similarity"))
+    return found.where(F.col("similarity") >= least), members
+
+
 def with_next(df: DataFrame, order: list[str], carry: list[str]) -> DataFrame:
     """Adds ``next_<c>`` for the columns in ``carry`` from the row that follows by ``order``; the first of these is an integer.
 
@@ -65,6 +113,7 @@ def with_next(df: DataFrame, order: list[str], carry: list[str]) -> DataFrame:
     key = order[0]
     rows = df.where(F.col(key).isNotNull())
     count = rows.count()
+    # Ends of at most 65,536 ranges are told; a range holds 2,048 rows or, of more than 134 million, its share.
     ranges = int(max(1, min(65_536, max(3 * slots(df.sparkSession), count // 2048))))
     found = rows.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges))).first()[0] if ranges > 1 else []
     ends = sorted(set(found or []))
