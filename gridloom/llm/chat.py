@@ -2,8 +2,10 @@
 
 A table's nested field paths are hashed, and the hash selects a declarative mapping that
 turns its layout (rows by turn, lists of messages, prompt and completion, instruction,
-input and output) into canonical turns: conv_id, turn, role, text. Only paths that some
-layout knows count, so extra columns don't hide a layout.
+input and output) into canonical turns: conv_id, turn, role, text. Of the paths that a
+table has, those that a layout names are hashed for each layout in turn, lists of messages
+first, and the first one that finds its fingerprint is it: so extra columns don't hide a
+layout, even if another layout knows their names.
 
 Turns are written as ``### role: text</turn>`` and a line feed each. Backslashes, three
 number signs in a row, the end mark and, in roles, colons are escaped, so that the marks
@@ -13,7 +15,8 @@ spans of the assistant's (escaped) texts.
 Null roles and texts count as empty. Turns are in the order of turn (null first), role and
 text; rows that repeat are turns of their own. A conversation is assembled from blocks of
 BLOCK turns, so that one with a third of all rows is spread over many tasks until its one
-row is made.
+row is made. A conversation whose list of messages is null or empty has no turns and no row in
+the result, and an empty table gives an empty result. Texts are taken whole at any length.
 """
 
 from __future__ import annotations
@@ -29,13 +32,13 @@ END = "</turn>"
 
 #: Layouts: the paths that tell them, and the turns as an SQL expression (an array of structs), or None for rows by turn.
 LAYOUTS: dict[str, tuple[tuple[str, ...], str | None]] = {
-    "turn rows": (("conv_id", "role", "text", "turn"), None),
     "messages": (("conv_id", "messages[].content", "messages[].role"), "transform(messages, (m, i) -> struct(cast(i as bigint) as turn, m.role as role, m.content as text))"),
     "from and value": (("conv_id", "conversations[].from", "conversations[].value"), "transform(conversations, (m, i) -> struct(cast(i as bigint) as turn, case m.`from` when 'human' then 'user' when 'gpt' then 'assistant' else m.`from` end as role, m.value as text))"),
+    "turn rows": (("conv_id", "role", "text", "turn"), None),
+    "instruction, input and output": (("conv_id", "input", "instruction", "output"), "array(struct(0L as turn, 'user' as role, if(coalesce(input, '') = '', instruction, concat(coalesce(instruction, ''), '\\n\\n', input)) as text), struct(1L as turn, 'assistant' as role, output as text))"),
+    "instruction and output": (("conv_id", "instruction", "output"), "array(struct(0L as turn, 'user' as role, instruction as text), struct(1L as turn, 'assistant' as role, output as text))"),
     "prompt and completion": (("completion", "conv_id", "prompt"), "array(struct(0L as turn, 'user' as role, prompt as text), struct(1L as turn, 'assistant' as role, completion as text))"),
     "prompt and response": (("conv_id", "prompt", "response"), "array(struct(0L as turn, 'user' as role, prompt as text), struct(1L as turn, 'assistant' as role, response as text))"),
-    "instruction and output": (("conv_id", "instruction", "output"), "array(struct(0L as turn, 'user' as role, instruction as text), struct(1L as turn, 'assistant' as role, output as text))"),
-    "instruction, input and output": (("conv_id", "input", "instruction", "output"), "array(struct(0L as turn, 'user' as role, if(coalesce(input, '') = '', instruction, concat(coalesce(instruction, ''), '\\n\\n', input)) as text), struct(1L as turn, 'assistant' as role, output as text))"),
 }
 
 
@@ -52,16 +55,16 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
 
 
-_KNOWN = {p for paths, _ in LAYOUTS.values() for p in paths}
-_BY_FINGERPRINT = {fingerprint(paths): name for name, (paths, _) in LAYOUTS.items()}
+_FINGERPRINTS = {name: fingerprint(paths) for name, (paths, _) in LAYOUTS.items()}
 
 
 def layout_of(schema: T.StructType) -> str:
-    """The layout whose fingerprint the known paths of a schema have."""
-    name = _BY_FINGERPRINT.get(fingerprint(_KNOWN.intersection(field_paths(schema))))
-    if name is None:
-        raise ValueError(f"no layout has the fields {sorted(_KNOWN.intersection(field_paths(schema)))}")
-    return name
+    """The first layout whose fingerprint its paths in a schema have."""
+    present = set(field_paths(schema))
+    for name, (paths, _) in LAYOUTS.items():
+        if fingerprint(present.intersection(paths)) == _FINGERPRINTS[name]:
+            return name
+    raise ValueError(f"no layout has its fields among {sorted(present)}")
 
 
 def canonical_turns(df: DataFrame) -> DataFrame:
