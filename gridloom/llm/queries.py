@@ -95,24 +95,29 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every class of near copies, and of rows with equal doc_id one."""
-    first = minhash.near_duplicates(docs).where("doc_id = class_id").select("doc_id")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    once = Window.partitionBy("doc_id").orderBy(*rest)  # of the partitioning that the join has anyway
-    return docs.join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").select(docs.columns)
+    """The document with the smallest doc_id of every class of near copies.
+
+    Rows are told apart by doc_id and text: of equal rows one stays, rows with one doc_id (or none) and different texts are judged each for itself.
+    """
+    key = F.struct("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text"))
+    first = minhash.near_duplicates(docs.select(key.alias("doc_id"), "text")).where("doc_id = class_id").select(F.col("doc_id").alias("_key"))
+    once = Window.partitionBy("_key").orderBy(*docs.columns)  # of the partitioning that the join has anyway
+    return docs.withColumn("_key", key).join(first.hint("merge"), "_key", "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier document has; a document with nothing left goes."""
-    cut = substring.remove_repeats(docs, as_is=True).where("n_words > n_removed").select("doc_id", F.col("text").alias("_kept"))
-    others = docs.drop("text", "n_chars").join(cut, "doc_id")
-    return others.withColumn("text", F.col("_kept")).withColumn("n_chars", F.char_length("_kept").cast("bigint")).select(docs.columns)
+    """Documents without the passages that an earlier document has; a document with nothing left goes, one without words too. doc_id is told apart by integer; a null one counts as the smallest."""
+    cut = substring.remove_repeats(docs, as_is=True, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars")))
+    kept = cut.where("n_words > n_removed")
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text")}
+    return kept.select(*[(own[c] if c in own else F.col(f"carried.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated with benchmark items."""
-    hits = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select("doc_id")
-    return docs.join(hits, "doc_id", "left_semi").select(docs.columns)
+    """Documents without a word inside a benchmark window, however long they are. Rows are judged by their text: those with one doc_id each for itself."""
+    key = F.struct("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text"))
+    hits = decontaminate.contamination(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("_key")).distinct()
+    return docs.withColumn("_key", key).join(hits, "_key", "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
