@@ -64,10 +64,10 @@ def substitute_all(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.substitute_all(F.col("p_type"), ["E", "", "A"], ["3", "x", "4"]).alias("t"))
 
 
-@query("select n_nationkey, 'Nation ' || n_name || ' {' || cast(n_regionkey as varchar) || '} {other}' as filled from nation")
+@query("select n_nationkey, 'Nation ' || n_name || ' {' || cast(n_regionkey as varchar) || '} ' || cast(n_nationkey as varchar) || '-' || n_name || ' {3} {other}' as filled from nation")
 def template_fill(spark, sf_dir):
     df = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    return T.template_fill(df, "Nation {N_NAME} {{{3}}} {other}").select("n_nationkey", "filled")
+    return T.template_fill(df, "Nation {N_NAME} {{{2}}} {0}-{1} {3} {other}").select("n_nationkey", "filled")
 
 
 @query(f"select event_id, coalesce(regexp_matches(kind, '(?i)^[cp]'), false) as t, coalesce(length(regexp_replace(kind, '[^eE]', '', 'g')), 0) as n from {EVENTS}")
@@ -124,6 +124,18 @@ def json_path_status(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", J.json_path_status(bad, "$.k").alias("status"))
 
 
+_FORMS = "case event_id % 4 when 0 then concat('[', props, ', 5, \"x\"]') when 1 then props when 2 then concat('[', props, ', {\"m\": null}]') else '7' end"
+
+
+@query("""select event_id, cast(p as integer) as position, case when event_id % 4 = 1 then 'k' end as key,
+    case event_id % 4 when 0 then case p when 0 then cast(json(props) as varchar) when 1 then '5' else 'x' end when 1 then json_extract_string(props, '$.k') when 3 then '7' end as value,
+    case when event_id % 4 = 2 and p = 0 then json_extract_string(props, '$.k') end as k, null::varchar as m
+    from events, (values (0), (1), (2)) t(p) where p < case event_id % 4 when 0 then 3 when 2 then 2 else 1 end""")
+def parse_json_mixed(spark, sf_dir):
+    """Documents of every form in one column, and arrays that hold more than objects."""
+    return J.parse_json(table(spark, sf_dir, "events").select("event_id", F.expr(_FORMS).alias("doc")), "doc", order_by="event_id")
+
+
 @query("""select event_id, cast(p as integer) as position, case p when 0 then json_extract_string(props, '$.k') when 1 then '7' end as k, case p when 1 then event_type end as kind
     from events, (values (0), (1)) t(p)""")
 def parse_json(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,24 +55,45 @@ def _first_seen(rows: DataFrame, order_by: str, doc: str) -> list[str]:
 def parse_json(df: DataFrame, text: str, path: str = "$", *, order_by: str, fields: Sequence[str] | None = None) -> DataFrame:
     """Rows of the documents in a text column, in the order (order_by, ``position``).
 
-    An array of objects gives a row each, with a text column for each key in the order first seen (``fields`` saves the pass that
-    finds them; the number of keys is the width of the result); another array a row each with ``value``; an object rows of ``key``
-    and ``value``; a scalar one row with ``value``. One form is taken for the whole column: that of its first document.
+    Each document has its own form. An array of objects alone gives a row each, with a text column for each key in the order first
+    seen (``fields`` saves the pass that finds them; the number of keys is the width of the result; a key with the name of another
+    column of the result gets an underscore); another array a row each with ``value``; an object rows of ``key`` and ``value``; a
+    scalar one row with ``value``. An empty array or object, and text that is no JSON, give one blank row. The result has the columns
+    that the forms found ask for, null in the rows of other forms.
     """
     where = spark_path(path)
     source = df.select(col(order_by).alias(order_by), (col(text) if where == "$" else F.get_json_object(col(text), where)).alias("_j")).where("_j is not null")
-    first = source.orderBy(order_by).select("_j").first()
-    kind = (first[0].lstrip() or " ")[0] if first else " "
-    if kind == "{":
-        pairs = source.select(order_by, F.posexplode(F.json_object_keys("_j")).alias("position", "key"), "_j")
-        return pairs.join(source.select(order_by, F.explode(F.from_json("_j", "map<string,string>")).alias("key", "value")), [order_by, "key"], "left").select(order_by, "position", "key", "value")
-    if kind != "[":
-        return source.select(order_by, F.lit(0).alias("position"), F.expr("try_variant_get(try_parse_json(_j), '$', 'string')").alias("value"))
-    items = source.select(order_by, F.posexplode(F.from_json("_j", "array<string>")).alias("_pos", "_item"))
-    names = list(fields) if fields is not None else _first_seen(items.where(F.col("_item").startswith("{")), order_by, "_item")
-    if not names:
-        return items.select(order_by, F.col("_pos").alias("position"), F.col("_item").alias("value"))
-    record = F.from_json("_item", T.MapType(T.StringType(), T.StringType()))
-    plain = F.when(~F.col("_item").startswith("{"), F.col("_item"))
-    cells = [F.try_element_at(F.col("_r"), F.lit(n)).alias(n) for n in names]
-    return items.withColumn("_r", F.when(F.col("_item").startswith("{"), record)).withColumn("_plain", plain).select(order_by, F.col("_pos").alias("position"), *cells)
+    source = source.withColumn("_items", F.when(F.ltrim("_j").startswith("["), F.from_json("_j", "array<string>")))
+    # Text items may look like objects: what an item is, the parsed document knows.
+    typed = F.forall(F.try_variant_get(F.try_parse_json("_j"), "$", "array<variant>"), lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    is_table = F.coalesce(typed, F.forall("_items", lambda x: F.ltrim(x).startswith("{")), F.lit(False)) & (F.size("_items") > 0)
+    form = F.when(F.col("_items").isNotNull(), F.when(is_table, "table").otherwise("list")).when(F.ltrim("_j").startswith("{"), "object").otherwise("scalar")
+    source = source.withColumn("_form", form)
+    forms = {r[0] for r in source.select("_form").distinct().collect()}  # four at most
+    items = source.where("_form = 'table'").select(order_by, F.posexplode("_items").alias("_pos", "_item"))
+    names = (list(fields) if fields is not None else _first_seen(items, order_by, "_item")) if "table" in forms else []
+    plain = bool(forms - {"table"}) or not names
+    own = [order_by, "position", *(["key"] if "object" in forms else []), *(["value"] if plain else [])]
+    label = {}
+    for n in names:
+        label[n] = n
+        while label[n] in own or list(label.values()).count(label[n]) > 1:
+            label[n] += "_"
+    text_ = T.StringType()
+
+    def shaped(rows: DataFrame, **given: Column) -> DataFrame:
+        blank = F.lit(None).cast(text_)
+        return rows.select(order_by, F.coalesce("_pos", F.lit(0)).alias("position"), *[given.get(c, blank).alias(c) for c in own[2:]], *[given.get("_cells", {}).get(n, blank).alias(label[n]) for n in names])
+
+    parts = []
+    if "table" in forms:
+        record = items.withColumn("_r", F.from_json("_item", T.MapType(text_, text_)))
+        parts.append(shaped(record, _cells={n: F.try_element_at("_r", F.lit(n)) for n in names}))
+    if "list" in forms:
+        parts.append(shaped(source.where("_form = 'list'").select(order_by, F.posexplode_outer("_items").alias("_pos", "_item")), value=F.col("_item")))
+    if "object" in forms:
+        pairs = source.where("_form = 'object'").select(order_by, F.from_json("_j", T.MapType(text_, text_)).alias("_r"), F.posexplode_outer(F.json_object_keys("_j")).alias("_pos", "_key"))
+        parts.append(shaped(pairs, key=F.col("_key"), value=F.try_element_at("_r", F.col("_key"))))
+    if "scalar" in forms or not parts:
+        parts.append(shaped(source.where("_form = 'scalar'").select(order_by, F.lit(0).alias("_pos"), "_j"), value=F.expr("try_variant_get(try_parse_json(_j), '$', 'string')")))
+    return reduce(DataFrame.unionByName, parts)

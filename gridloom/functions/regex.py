@@ -46,10 +46,13 @@ def regex_extract_all(text: Column, pattern: str, group: int = 0, ignore_case: b
 
 
 def regex_split(text: Column, pattern: str, ignore_case: bool = False) -> Column:
-    """The stretches between matches as an array. Groups that capture would be part of the result elsewhere and are refused."""
-    if groups(pattern):
-        raise ValueError("a pattern to split at has no capturing groups; write (?:...)")
-    return F.split(text, _checked(pattern, ignore_case), -1)
+    """The stretches between matches as an array, with what groups captured in a match between the two beside it (a group that took no part: empty text)."""
+    parts, n = F.split(text, _checked(pattern, ignore_case), -1), groups(pattern)
+    if not n:
+        return parts
+    taken = [regex_extract_all(text, pattern, i + 1, ignore_case) for i in range(n)]
+    rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda part, i: F.array(*[F.coalesce(F.get(t, i), F.lit("")) for t in taken], part))
+    return F.concat(F.slice(parts, 1, 1), F.flatten(rest))
 
 
 def spread(df: DataFrame, array: Column, prefix: str, width: int | None = None) -> DataFrame:

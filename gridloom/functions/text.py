@@ -95,20 +95,21 @@ def substitute_all(text: Column, finds: Sequence[str], replacements: Sequence[st
 
 
 def template_fill(df: DataFrame, template: str, columns: Sequence[str] | None = None, *, out: str = "filled") -> DataFrame:
-    """Adds ``out``: the template with ``{name}`` (without regard to case) or ``{index}`` (from 1) filled from the row, ``{{`` and ``}}`` for braces; unknown tokens stay."""
+    """Adds ``out``: the template with ``{index}`` (from 0) or ``{name}`` (without regard to case) filled from the row, ``{{`` and ``}}`` for braces; unknown tokens stay."""
     names = list(columns or df.columns)
     by_name = {}
     for n in names:
         by_name.setdefault(n.lower(), n)
     parts: list[Column] = []
-    for token in re.findall(r"\{\{|\}\}|\{[^{}]*\}|[^{}]+|[{}]", template):
-        key = token[1:-1].strip() if token[0] == "{" and token[-1] == "}" and len(token) > 2 and token != "{{" else None
+    for token in re.findall(r"\{\{|\}\}|\{[^}]*\}|[^{}]+|[{}]", template):
+        inner = token[1:-1] if token[0] == "{" and token[-1] == "}" else None
+        index = int(inner) if inner is not None and re.fullmatch(r"\s*[+-]?[0-9]+\s*", inner) else -1
         if token in ("{{", "}}"):
             parts.append(F.lit(token[0]))
-        elif key is not None and key.isdigit() and 1 <= int(key) <= len(names):
-            parts.append(_cell(df, names[int(key) - 1]))
-        elif key is not None and key.lower() in by_name:
-            parts.append(_cell(df, by_name[key.lower()]))
+        elif 0 <= index < len(names):
+            parts.append(_cell(df, names[index]))
+        elif inner is not None and inner.lower() in by_name:
+            parts.append(_cell(df, by_name[inner.lower()]))
         else:
             parts.append(F.lit(token))
     return df.withColumn(out, F.concat(*parts) if parts else F.lit(""))

@@ -115,8 +115,8 @@ def test_regex(spark):
     assert [r[0] for r in df.select(regex.regex_count(df.t, r"\d")).collect()] == [2, 0]
     assert df.select(regex.regex_extract(df.t, r"(\d)(x)?", 2), regex.regex_extract(df.t, r"(\d)", 5)).first()[:] == ("", "")
     assert regex.groups(r"(a)(?:b)(?<n>c)[(]\(") == 2
-    with pytest.raises(ValueError):
-        regex.regex_split(df.t, "(a)")
+    assert df.select(regex.regex_split(df.t, r"(\d)")).collect()[0][0] == ["ab", "1", "", "2", "cd"]
+    assert df.select(regex.regex_split(df.t, r"([a-z])(\d)?")).collect()[0][0] == ["", "a", "", "", "b", "1", "2", "c", "", "", "d", "", ""]
 
 
 def test_workdays(spark):
@@ -163,7 +163,13 @@ def test_json(spark):
         jsonx.json_path(df.j, "a[")
     nested = spark.createDataFrame([(1, '[{"z": 1, "a": 2}, {"m": "x", "z": null}, 7]')], "i int, j string")
     table = jsonx.parse_json(nested, "j", order_by="i")
-    assert table.columns == ["i", "position", "z", "a", "m"] and table.count() == 3
+    assert [r.value for r in table.orderBy("position").collect()] == ['{"z":1,"a":2}', '{"m":"x","z":null}', "7"]
+    assert table.columns == ["i", "position", "value"] and table.count() == 3
+    mixed = [(1, '[{"z": 1, "key": 2}, {"m": "x", "z": null}]'), (2, '{"a": 7, "b": [1]}'), (3, "[9]"), (4, "5"), (5, '["{a", "b"]'), (6, "[]"), (7, "{}"), (8, "{oops"), (9, None)]
+    got = jsonx.parse_json(spark.createDataFrame(mixed, "i int, j string"), "j", order_by="i").orderBy("i", "position")
+    assert got.columns == ["i", "position", "key", "value", "z", "key_", "m"]
+    blank = (None,) * 3
+    assert rows(got) == [(1, 0, None, None, "1", "2", None), (1, 1, None, None, None, None, "x"), (2, 0, "a", "7", *blank), (2, 1, "b", "[1]", *blank), (3, 0, None, "9", *blank), (4, 0, None, "5", *blank), (5, 0, None, "{a", *blank), (5, 1, None, "b", *blank), (6, 0, None, None, *blank), (7, 0, None, None, *blank), (8, 0, None, None, *blank)]
     assert rows(jsonx.parse_json(spark.createDataFrame([(1, "[1, 2]")], "i int, j string"), "j", order_by="i").select("value")) == [("1",), ("2",)]
 
 
@@ -173,7 +179,10 @@ def test_csv(spark, tmp_path):
     assert [tuple(r) for r in df.collect()][:2] == [(1.0, 'a "q" b'), (2.0, "two\nlines")]
     (tmp_path / "bad.csv").write_text('x\n"open\n')
     with pytest.raises(ValueError):
-        files.read_csv(spark, str(tmp_path / "bad.csv"), strict_quotes=True)
+        files.read_csv(spark, str(tmp_path / "bad.csv"))
+    (tmp_path / "blank.csv").write_text("x,y\n1,2\n\n\n3\n")
+    got = files.read_csv(spark, str(tmp_path / "blank.csv"), header=True)
+    assert sorted(map(str, rows(got))) == ["(1.0, 2.0)", "(3.0, None)", "(None, None)", "(None, None)"]
     assert files.write_csv(df, str(tmp_path / "out"), header=True) == 3
     assert files.read_csv(spark, str(tmp_path / "out"), header=True).count() == 3
 
@@ -187,6 +196,9 @@ def test_json_files(spark, tmp_path):
         files.read_ndjson(spark, str(tmp_path / "b.ndjson"))
     assert files.write_json(got.select("a", "z"), str(tmp_path / "j")) == 2
     assert files.read_json(spark, str(tmp_path / "j")).count() == 2
+    files.write_json(spark.range(50).repartition(4), str(tmp_path / "ordered"), order_by="id")
+    text = next(p for p in os.listdir(tmp_path / "ordered") if p.startswith("part"))
+    assert (tmp_path / "ordered" / text).read_text().strip() == "[" + ",".join(f'{{"id":{i}}}' for i in range(50)) + "]"
     assert files.write_json(got.select("a", "z"), str(tmp_path / "k"), records=False) == 2
     import json
 
@@ -200,6 +212,13 @@ def test_folder_and_info(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('{"z": 5}\n')
     df = files.read_folder(spark, str(tmp_path))
     assert sorted(df.columns) == ["file", "x", "y", "z"] and df.count() == 3
+    for i in range(5):
+        (tmp_path / f"more{i}.csv").write_text(f"y,file\n{i},f\n" if i % 2 else f"x,y\n{i},{i}\n")
+    (tmp_path / "d.jsonl").write_text("{oops\n")
+    (tmp_path / "e.csv").write_text('x,y\n"open,1\n')
+    df = files.read_folder(spark, str(tmp_path))
+    assert df.count() == 8 and {r.file.rpartition("/")[2]: r.y for r in df.collect() if r.y} == {"a.csv": "2", "B.tsv": "3", **{f"more{i}.csv": str(i) for i in range(5)}}
+    assert str(df._jdf.queryExecution().optimizedPlan()).count("Relation [") <= 6
     info = files.file_info(spark, [str(tmp_path / "a.csv"), str(tmp_path / "no")])
     assert [(r.exists, r.bytes) for r in info.collect()] == [(True, 8), (False, None)]
 
@@ -212,6 +231,34 @@ def test_caches(spark, tmp_path):
     disk = cache.DiskCache(spark, f"file://{tmp_path}")
     assert disk.read("k") is None and disk.write("k", spark.range(3)) == 3 and disk.read("k").count() == 3
     assert disk.clear("k") == 1 and disk.clear("k") == 0
+    place = disk._place("k").removeprefix("file://")
+    disk.write("k", spark.range(3))
+    os.rename(place, place + ".old")  # a write broken off between its moves
+    assert disk.read("k").count() == 3 and disk.write("k", spark.range(4)) == 4 and disk.read("k").count() == 4
+    for name in os.listdir(place):
+        os.remove(os.path.join(place, name))
+    with open(os.path.join(place, "part-0.parquet"), "w") as file:
+        file.write("no parquet")
+    spark.catalog.clearCache()
+    assert disk.read("k") is None and not os.path.exists(place)
+
+
+def test_template(spark):
+    df = spark.createDataFrame([("a", 2)], "Name string, n int")
+    one = lambda t: text.template_fill(df, t).first().filled
+    assert one("{0}-{1}-{2}") == "a-2-{2}" and one("{NAME} { 1 } {+1} {{0}} {{{1}}} {no} {} {") == "a 2 2 {0} {2} {no} {} {" and one("{-1}}") == "{-1}}"
+
+
+def test_sine_takes_any_number():
+    from gridloom.streaming import feeds
+
+    assert [feeds._any_number(x, 1.0) for x in ("-2", "0", "x", "1.5")] == [-2, 0, 1, 1.5] and feeds._number("-2", 7) == 7
+
+
+def test_negative_threshold_is_the_default(spark):
+    df = spark.createDataFrame([(float(x),) for x in [1, 2, 3, 4, 5, 100]], "v double")
+    for method in ("iqr", "zscore", "mad"):
+        assert rows(series.outliers(df, "v", method, -5.0)) == rows(series.outliers(df, "v", method))
 
 
 def test_feeds(spark, tmp_path):
