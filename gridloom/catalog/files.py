@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import reshape as R
 from ..operators.cache import DiskCache, Memo
 from ..sources import files as S
-from ..streaming.feeds import changes_only, feed, watch_file, watch_folder
+from ..streaming.feeds import Feeds, changes_only, feed, watch_file, watch_folder
 from .base import EVENTS, events, query, rounded, table
 
 
@@ -18,6 +19,8 @@ def _place(spark, name: str) -> str:
     """A new path in the folder that all executors reach; a local one only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors reach")
         found = "file://" + tempfile.mkdtemp(prefix="gridloom-files-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/gridloom-files/{name}-{uuid.uuid4().hex}"
@@ -43,6 +46,12 @@ def round_trip(spark, sf_dir):
     return R.round_trip(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), lambda df: df.withColumn("s_name", F.upper("s_name")))
 
 
+@query("select s_suppkey, upper(s_name) as s_name from supplier")
+def block_write(spark, sf_dir):
+    """A block changed, written and read again."""
+    return R.round_trip(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), lambda df: df.withColumn("s_name", F.upper("s_name")), _place(spark, "block"))
+
+
 @query("select n_nationkey::double as n_nationkey, n_name, n_regionkey::double as n_regionkey from nation")
 def csv_round_trip(spark, sf_dir):
     path = _place(spark, "csv")
@@ -60,7 +69,7 @@ def csv_documents(spark, sf_dir):
 @query("select cast(n_nationkey as varchar) as n_nationkey, n_name from nation")
 def json_round_trip(spark, sf_dir):
     path = _place(spark, "json")
-    S.write_json(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), path)
+    S.write_json(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), path, order_by="n_nationkey")
     return S.read_json(spark, path).select("n_nationkey", "n_name")
 
 
@@ -134,8 +143,27 @@ def _live(topic: str):
     return run
 
 
-for _topic in ("clock", "counter:200", "sine:0.5:2", "random"):
+for _topic in ("clock", "sine:0.5:2", "random"):
     query(name=f"live_{_topic.split(':')[0]}")(_live(_topic))
+query("select 'counter:200' as topic, cast(i as varchar) as value from range(1, 4) t(i)", "live_counter")(_live("counter:200"))
+
+
+@query("select 1::bigint as queries, true as both, 0::bigint as rest")
+def live_multiplexed(spark, sf_dir):
+    """Two subscribers to one topic share a query and get its values; it ends after the last of them."""
+    feeds, got = Feeds(spark), {"a": [], "b": []}
+    receive = {k: (lambda topic, value, k=k: got[k].append(value)) for k in got}
+    for r in receive.values():
+        feeds.subscribe("counter:200", r)
+    n = len(feeds.queries)
+    for _ in range(100):
+        if all(got.values()):
+            break
+        time.sleep(0.2)
+    both = bool(set(got["a"]) & set(got["b"]))
+    for r in receive.values():
+        feeds.unsubscribe("counter:200", r)
+    return spark.createDataFrame([(n, both, len(feeds.queries))], "queries long, both boolean, rest long")
 
 
 @query("select topic, value, n from (values ('a', 'x', 1), ('a', 'y', 3), ('b', 'x', 1)) t(topic, value, n)")

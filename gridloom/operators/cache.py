@@ -53,30 +53,37 @@ class DiskCache:
         return f"{self.folder}/{hashlib.sha256(key.encode()).hexdigest()}"
 
     def write(self, key: str, df: DataFrame) -> int:
-        """Writes beside the place and moves it there at the end; gives the number of rows."""
-        place = self._place(key)
+        """Writes beside the place and moves it there at the end, with what was there kept aside till then; gives the number of rows."""
+        place, old = self._place(key), f"{self._place(key)}.old"
         df.write.mode("overwrite").parquet(f"{place}.tmp")
-        self.fs.delete(self.path(place), True)
+        if self.fs.exists(self.path(place)):
+            self.fs.delete(self.path(old), True)
+            self.fs.rename(self.path(place), self.path(old))
         if not self.fs.rename(self.path(f"{place}.tmp"), self.path(place)):
             raise OSError(f"{place} can't be written")
+        self.fs.delete(self.path(old), True)
         return self.spark.read.parquet(place).count()
 
     def read(self, key: str, if_missing: DataFrame | None = None) -> DataFrame | None:
         """The rows, or ``if_missing`` if there are none or they can't be read; what can't be read is deleted."""
         place = self._place(key)
         if not self.fs.exists(self.path(place)):
-            return if_missing
+            place += ".old"  # a write was broken off between its two moves
+            if not self.fs.exists(self.path(place)):
+                return if_missing
         try:
             df = self.spark.read.parquet(place)
             df.limit(1).count()
             return df
-        except Exception:  # noqa: BLE001  whatever is wrong with the files, they are of no use
+        except Exception as e:  # noqa: BLE001  only files that are no Parquet are of no use; a lost connection leaves them alone
+            if not any(x in str(e) for x in ("UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "not a Parquet file", "FAILED_READ_FILE.PARQUET")):
+                raise
             self.fs.delete(self.path(place), True)
             return if_missing
 
     def clear(self, key: str | None = None) -> int:
         if key is not None:
-            return int(self.fs.delete(self.path(self._place(key)), True))
+            return int(sum(bool(self.fs.delete(self.path(self._place(key) + end), True)) for end in ("", ".old")) > 0)
         if not self.fs.exists(self.path(self.folder)):
             return 0
         return sum(bool(self.fs.delete(s.getPath(), True)) for s in self.fs.listStatus(self.path(self.folder)))

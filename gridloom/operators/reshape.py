@@ -215,11 +215,17 @@ def concat_blocks(*blocks: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), blocks)
 
 
-def write_block(df: DataFrame, table: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).saveAsTable(table)
-
-
-def round_trip(df: DataFrame, change) -> DataFrame:
-    return df.transform(change)
+def write_block(df: DataFrame, target: str, mode: str = "overwrite") -> DataFrame:
+    """Writes to a table, or to a Parquet path (with a slash in it), and gives what is there then."""
+    if "/" in target:
+        df.write.mode(mode).parquet(target)
+        return df.sparkSession.read.parquet(target)
+    df.write.mode(mode).saveAsTable(target)
+    return df.sparkSession.table(target)
+
+
+def round_trip(df: DataFrame, change, target: str | None = None) -> DataFrame:
+    """A block changed and, if a target is named, written there and read again."""
+    return df.transform(change) if target is None else write_block(df.transform(change), target)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import col, dtype, to_double, to_text
+from ..functions.jsonx import parse_json
 
 #: Extensions that a folder's files are read by; others are comma-separated.
 KINDS = {".tsv": "tsv", ".json": "json", ".ndjson": "ndjson", ".jsonl": "ndjson"}
@@ -33,33 +34,42 @@ def as_strings(df: DataFrame) -> DataFrame:
     return df.select(*[F.coalesce(to_text(col(c), dtype(df, c)), F.lit("")).alias(c) for c in df.columns])
 
 
-def check_quotes(spark: SparkSession, path: str) -> None:
-    """Raises if a file ends inside quotes (an odd number of them): Spark's reader would take it."""
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"))
-    bad = texts.where(F.col("quotes") % 2 == 1).select("file").limit(1).collect()
-    if bad:
-        raise ValueError(f"{bad[0][0]} ends inside quotes")
+def _line_facts(spark: SparkSession, path) -> tuple[str | None, bool, int]:
+    """A file that ends inside quotes (or None), whether any line does (so that cells go on over lines), and the number of blank lines; one pass over the lines."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    files = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.sum(quotes).alias("quotes"), F.max(quotes % 2).alias("odd"), F.count_if(F.col("value") == "").alias("blank"))
+    open_, odd, blank = files.agg(F.min(F.when(F.col("quotes") % 2 == 1, F.col("file"))), F.max("odd"), F.sum("blank")).first()
+    return open_, odd == 1, blank or 0
 
 
-def read_csv(spark: SparkSession, path: str, *, delimiter: str = ",", encoding: str = "UTF-8", header: bool = False, coerce_numeric: bool = True, schema: T.StructType | str | None = None, strict_quotes: bool = False, multiline: bool = True) -> DataFrame:
-    """Delimited text with quotes doubled inside quotes and cells over several lines (line ends inside quotes are read as LF); short rows are filled with blanks.
+def read_csv(spark: SparkSession, path, *, delimiter: str = ",", encoding: str = "UTF-8", header: bool = False, coerce_numeric: bool = True, schema: T.StructType | str | None = None, strict_quotes: bool = True, multiline: bool | None = None, with_file: bool = False) -> DataFrame:
+    """Delimited text with quotes doubled inside quotes and cells over several lines (line ends inside quotes are read as LF); short rows are filled with blanks, a blank line is a row of blanks.
 
-    With ``coerce_numeric`` columns of which every cell is a number or blank are numbers (one pass over the file; a ``schema``
-    saves it). ``multiline=False`` lets Spark split large files that have no line ends inside quotes.
+    One pass over the lines finds a file that ends inside quotes (which raises) and whether any cell goes on over lines: only then
+    a file can't be split among tasks (and blank lines are skipped). ``strict_quotes=False`` with a given ``multiline`` saves it. With ``coerce_numeric`` columns of
+    which every cell is a number or blank are numbers (one more pass; a ``schema`` saves it). ``with_file`` adds each row's file as ``_file``.
     """
     if len(delimiter) != 1:
         raise ValueError("the delimiter is one character")
-    if strict_quotes:
-        check_quotes(spark, path)
+    blank = 0
+    if (strict_quotes or multiline is None) and not encoding.upper().startswith(("UTF-16", "UTF-32")):
+        open_, over, blank = _line_facts(spark, path)
+        if open_ and strict_quotes:
+            raise ValueError(f"{open_} ends inside quotes")
+        multiline = over if multiline is None else multiline
+    multiline = True if multiline is None else multiline
     reader = spark.read.options(sep=delimiter, encoding=encoding, header=header, multiLine=multiline, quote='"', escape='"', mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    if schema is not None:
-        return reader.schema(schema).csv(path)
-    df = reader.option("inferSchema", False).csv(path)
-    if not coerce_numeric or not df.columns:
+    df = (reader.schema(schema) if schema is not None else reader.option("inferSchema", False)).csv(path)
+    names = df.columns
+    if with_file:
+        df = df.select("*", F.col("_metadata.file_path").alias("_file"))
+    if blank and names and not multiline:
+        df = df.unionByName(spark.range(blank).select(*[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns]))
+    if schema is not None or not coerce_numeric or not names:
         return df
     text = T.StringType()
-    odd = df.agg(*[F.count_if(to_double(col(c), text).isNull() & col(c).isNotNull() & (col(c) != "")).alias(f"o{i}") for i, c in enumerate(df.columns)], *[F.count(F.nullif(col(c), F.lit(""))).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
-    return df.withColumns({c: to_double(col(c), text) for i, c in enumerate(df.columns) if odd[f"o{i}"] == 0 and odd[f"n{i}"] > 0})
+    odd = df.agg(*[F.count_if(to_double(col(c), text).isNull() & col(c).isNotNull() & (col(c) != "")).alias(f"o{i}") for i, c in enumerate(names)], *[F.count(F.nullif(col(c), F.lit(""))).alias(f"n{i}") for i, c in enumerate(names)]).first()
+    return df.withColumns({c: to_double(col(c), text) for i, c in enumerate(names) if odd[f"o{i}"] == 0 and odd[f"n{i}"] > 0})
 
 
 def write_csv(df: DataFrame, path: str, *, delimiter: str = ",", encoding: str = "UTF-8", header: bool = False, single_file: bool = False) -> int:
@@ -78,37 +88,44 @@ class _Counted:
         self.of = Observation()
 
 
-def read_json(spark: SparkSession, path: str, pointer: str = "$") -> DataFrame:
-    """A JSON document (or one a file) as a table, expanded as ``parse_json`` does; malformed text raises."""
-    from ..functions.jsonx import parse_json
+def _json_docs(spark: SparkSession, path) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("json"))
 
-    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("json"))
+
+def read_json(spark: SparkSession, path, pointer: str = "$") -> DataFrame:
+    """A JSON document (or one a file) as a table, expanded as ``parse_json`` does; malformed text raises."""
+    docs = _json_docs(spark, path)
     if docs.where(F.try_parse_json("json").isNull()).limit(1).count():
         raise ValueError(f"{path} is no JSON")
     return parse_json(docs, "json", pointer, order_by="file").drop("file")
 
 
-def read_ndjson(spark: SparkSession, path: str, *, schema: T.StructType | str | None = None) -> DataFrame:
-    """A JSON value a line, blank lines skipped; keys of all objects, in the order first seen, are columns, other values are in ``value``. A malformed line raises."""
+def _ndjson_lines(spark: SparkSession, path) -> DataFrame:
+    """Lines that are not blank, with what orders them: the file, where its split begins, and the row's number in that."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line")).where(F.trim("value") != "")
+
+
+def read_ndjson(spark: SparkSession, path, *, schema: T.StructType | str | None = None, with_file: bool = False) -> DataFrame:
+    """A JSON value a line, blank lines skipped; keys of all objects, in the order first seen, are columns, other values are in ``value``. A malformed line raises. ``with_file`` adds each row's file as ``_file``."""
     if schema is not None:
         return spark.read.schema(schema).json(path, mode="FAILFAST")
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")).where(F.trim("value") != "")
+    lines = _ndjson_lines(spark, path)
     bad = lines.where(F.try_parse_json("value").isNull()).select("file", "value").limit(1).collect()
     if bad:
         raise ValueError(f"a line of {bad[0][0]} is no JSON: {bad[0][1][:80]!r}")
-    # Spark sorts what it infers; the order first seen is found by one small aggregation.
-    seen = lines.where(F.ltrim("value").startswith("{")).select("file", "line", F.posexplode(F.json_object_keys("value")).alias("at", "key")).groupBy("key").agg(F.min(F.struct("file", "line", "at")).alias("first")).orderBy("first").select("key")
+    # Spark sorts what it infers; the order first seen is found by one small aggregation. The keys are the width of the result.
+    seen = lines.where(F.ltrim("value").startswith("{")).select("file", "split", "line", F.posexplode(F.json_object_keys("value")).alias("at", "key")).groupBy("key").agg(F.min(F.struct("file", "split", "line", "at")).alias("first")).orderBy("first").select("key")
     keys = [r[0] for r in seen.collect()]
     objects = spark.read.json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_plain")
     kinds = {f.name: f.dataType for f in objects.schema.fields if f.name != "_plain"}
     record = T.StructType([T.StructField(k, kinds.get(k, T.StringType())) for k in keys])
-    parsed = lines.select(F.when(F.ltrim("value").startswith("{"), F.from_json("value", record)).alias("r"), F.when(~F.ltrim("value").startswith("{"), F.expr("try_variant_get(try_parse_json(value), '$', 'string')")).alias("value"))
+    parsed = lines.select("file", F.when(F.ltrim("value").startswith("{"), F.from_json("value", record)).alias("r"), F.when(~F.ltrim("value").startswith("{"), F.expr("try_variant_get(try_parse_json(value), '$', 'string')")).alias("value"))
     plain = lines.where(~F.ltrim("value").startswith("{")).limit(1).count()
-    return parsed.select(*[F.col(f"r.`{k}`") for k in keys], *(["value"] if plain else []))
+    return parsed.select(*[F.col(f"r.`{k}`") for k in keys], *(["value"] if plain else []), *([F.col("file").alias("_file")] if with_file else []))
 
 
-def write_json(df: DataFrame, path: str, *, records: bool = True, indent: bool = False) -> int:
-    """One JSON array in one part file: of objects with the column names (``col1``... for blank ones), or of arrays. Gives the number of rows.
+def write_json(df: DataFrame, path: str, *, records: bool = True, indent: bool = False, order_by: str | Sequence[str] | None = None) -> int:
+    """One JSON array in one part file: of objects with the column names (``col1``... for blank ones), or of arrays, in the order of ``order_by`` (without one, as they come). Gives the number of rows.
 
     An array is one text, so its rows come together in one task; ``write_ndjson`` is for large tables.
     """
@@ -121,7 +138,10 @@ def write_json(df: DataFrame, path: str, *, records: bool = True, indent: bool =
         line = F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(F.regexp_extract(F.to_json(F.struct(col(c).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1), F.lit("null")) for c in df.columns]), F.lit("]"))
         line = F.regexp_replace(line, r"(?<=[\[,])(?=[,\]])", "null")
     gap = ",\n  " if indent else ","
-    whole = df.select(line.alias("j")).agg(F.count("*").alias("n"), F.concat(F.lit("[\n  " if indent else "["), F.array_join(F.collect_list("j"), gap), F.lit("\n]" if indent else "]")).alias("value")).persist()
+    order = [order_by] if isinstance(order_by, str) else list(order_by or [])
+    rows = F.collect_list(F.struct(*[F.col(f"o{i}") for i in range(len(order))], "j"))
+    listed = F.transform(F.array_sort(rows) if order else rows, lambda r: r["j"])
+    whole = df.select(*[col(c).alias(f"o{i}") for i, c in enumerate(order)], line.alias("j")).agg(F.count("*").alias("n"), F.concat(F.lit("[\n  " if indent else "["), F.array_join(listed, gap), F.lit("\n]" if indent else "]")).alias("value")).persist()
     whole.select("value").coalesce(1).write.mode("overwrite").text(path)
     n = whole.first()["n"]
     whole.unpersist()
@@ -146,36 +166,53 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*", recursive: boo
     return sorted(out, key=lambda p: (p.lower(), p))
 
 
+def _first_line(spark: SparkSession, path: str) -> str:
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    with_codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(where)
+    file = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(with_codec.createInputStream(file) if with_codec else file, "UTF-8")).readLine() or ""
+    finally:
+        file.close()
+
+
 def read_folder(spark: SparkSession, folder: str, glob: str = "*", *, recursive: bool = False, header: bool = True) -> DataFrame:
     """All files of a folder below each other with their path in ``file``: by column name with a header, by position without. Files that can't be read are left out.
 
-    Files of one kind and header are one scan.
+    Files of one kind and header are one scan: the driver reads the first line of each delimited file, as it lists them, and no more.
     """
     groups: dict[tuple, list[str]] = {}
     for path in list_files(spark, folder, glob, recursive):
         kind = next((k for end, k in KINDS.items() if path.lower().endswith(end)), "csv")
-        groups.setdefault((kind,), []).append(path)
-    parts = []
-    for (kind,), paths in groups.items():
-        for path in paths:
-            try:
-                if kind in ("csv", "tsv"):
-                    df = read_csv(spark, path, delimiter="\t" if kind == "tsv" else ",", header=header, coerce_numeric=False)
-                    df = _plain_names(df, header)
-                elif kind == "json":
-                    df = read_json(spark, path).drop("position")
-                else:
-                    df = read_ndjson(spark, path)
-            except Exception as e:  # noqa: BLE001  a file that can't be read is skipped, and said so
-                print(f"skipped {path}: {str(e).splitlines()[0]}")
-                continue
-            df = df.select(*[to_text(F.col(f"`{c}`"), df.schema[c].dataType).alias(c) for c in df.columns])
-            parts.append(df.withColumn("file", F.lit(path)))
+        groups.setdefault((kind, _first_line(spark, path) if header and kind in ("csv", "tsv") else ""), []).append(path)
+    parts = [df for (kind, _), paths in groups.items() for df in _readable(spark, kind, paths, header)]
     if not parts:
         return spark.createDataFrame([], "file string")
+    # A column ``file`` of theirs gives way to the path.
+    parts = [df.select(*[to_text(F.col(f"`{c}`"), df.schema[c].dataType).alias(c) for c in df.columns if c not in ("file", "_file")], F.col("_file").alias("file")) for df in parts]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def _readable(spark: SparkSession, kind: str, paths: list[str], header: bool) -> list[DataFrame]:
+    """What can be read of files of one kind; if a file can't be, the others are halved until it stands alone, and that is said."""
+    try:
+        if kind in ("csv", "tsv"):
+            return [_plain_names(read_csv(spark, paths, delimiter="\t" if kind == "tsv" else ",", header=header, coerce_numeric=False, with_file=True), header)]
+        if kind == "ndjson":
+            return [read_ndjson(spark, paths, with_file=True)]
+        docs = _json_docs(spark, paths)
+        if docs.where(F.try_parse_json("json").isNull()).limit(1).count():
+            raise ValueError("no JSON")
+        return [parse_json(docs.withColumnRenamed("file", "_file"), "json", order_by="_file").drop("position")]
+    except Exception as e:  # noqa: BLE001  a file that can't be read is skipped, and said so
+        if len(paths) == 1:
+            print(f"skipped {paths[0]}: {str(e).splitlines()[0]}")
+            return []
+        half = len(paths) // 2
+        return _readable(spark, kind, paths[:half], header) + _readable(spark, kind, paths[half:], header)
+
+
 def _plain_names(df: DataFrame, header: bool) -> DataFrame:
     """Repeated header names stay columns of their own: the second ``x`` is ``x_2``."""
     if not header:
@@ -184,6 +221,9 @@ def _plain_names(df: DataFrame, header: bool) -> DataFrame:
     out, seen = [], {}
     for name in raw:
         # Spark names the repeated columns of a header by their position: x0, x3.
+        if name == "_file" and len(out) == len(raw) - 1:
+            out.append(name)
+            break
         base = next((name[: -len(str(i))] for i in [len(out)] if name.endswith(str(i)) and raw.count(name) == 1 and any(r.startswith(name[: -len(str(i))]) and r != name and r[len(name) - len(str(i)) :].isdigit() for r in raw)), name)
         seen[base] = seen.get(base, 0) + 1
         out.append(base if seen[base] == 1 else f"{base}_{seen[base]}")

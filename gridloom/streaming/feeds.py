@@ -23,6 +23,14 @@ def _number(text: str, default: float) -> float:
     return value if value > 0 and value != float("inf") else default
 
 
+def _any_number(text: str, default: float) -> float:
+    """Zero and negative numbers are what they are."""
+    try:
+        return float(text)
+    except ValueError:
+        return default
+
+
 def _ticks(spark: SparkSession, milliseconds: float) -> DataFrame:
     """A row every so many milliseconds: value (0, 1, 2...) and timestamp."""
     if milliseconds >= 1000:
@@ -42,8 +50,7 @@ def feed(spark: SparkSession, topic: str) -> DataFrame:
     elif name == "counter":
         rows, value = _ticks(spark, _number(rest[0], COUNTER) if rest else COUNTER), (F.col("value") + 1).cast("string")
     elif name == "sine":
-        frequency = _number(rest[0], 1.0) if rest else 1.0
-        amplitude = _number(rest[1], 1.0) if len(rest) > 1 else 1.0
+        frequency, amplitude = (_any_number(rest[i], 1.0) if len(rest) > i else 1.0 for i in (0, 1))
         rows = _ticks(spark, SINE)
         value = (F.lit(amplitude) * F.sin(F.lit(2 * 3.141592653589793 * frequency) * F.unix_micros("timestamp") / 1e6)).cast("string")
     elif name == "random":
