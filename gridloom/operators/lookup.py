@@ -51,24 +51,25 @@ def lookup_exact(probes: DataFrame, probe: str, table: DataFrame, key: str, retu
 def lookup_floor(probes: DataFrame, probe: str, table: DataFrame, key: str, returns: Sequence[str], *, order_by: str, if_not_found=None) -> DataFrame:
     """The probes with the ``returns`` of the largest numeric key not above the probe (the last of equal keys); text and blank probes miss.
 
-    Both sides are laid out by value in ranges; within a range the last key before a probe is a running maximum, and what
-    comes from the ranges before is one row a range. No cross join, no single task.
+    Both sides are laid out by value in ranges, each different probe once; within a range the last key before a probe is a running
+    maximum, and what comes from the ranges before is one row a range. The answers are joined back to the probes. No cross join, no
+    single task, and equal probes don't meet in one range.
     """
     out = [r if r not in probes.columns else f"{r}_found" for r in returns]
     number = lambda df, name: numeric(col(name), dtype(df, name), booleans=True)
     row = F.struct(*[col(r).alias(f"r{i}") for i, r in enumerate(returns)])
     keys = table.select(number(table, key).alias("_x"), row.alias("_row"), col(order_by).alias("_o")).where("_x is not null").groupBy("_x").agg(F.max_by("_row", "_o").alias("_row"))
-    asked = probes.select(number(probes, probe).alias("_x"), F.struct(*[col(c) for c in probes.columns]).alias("_probe"))
-    both = keys.select("_x", "_row", F.lit(None).cast(asked.schema["_probe"].dataType).alias("_probe")).unionByName(asked.where("_x is not null").select("_x", F.lit(None).cast(keys.schema["_row"].dataType).alias("_row"), "_probe"))
+    asked = probes.withColumn("_x", number(probes, probe))
+    both = keys.withColumn("_asked", F.lit(False)).unionByName(asked.where("_x is not null").select("_x", F.lit(None).cast(keys.schema["_row"].dataType).alias("_row"), F.lit(True).alias("_asked")).distinct())
     dealt = ranges.deal(both, "_x")
     hit = F.struct("_x", "_row")
-    before = ranges.carried(dealt, [F.max_by(hit, F.when(F.col("_row").isNotNull(), F.col("_x"))).alias("_carry")], lambda c: F.last(c, ignorenulls=True))
-    window = Window.partitionBy(ranges.RANGE).orderBy("_x", F.col("_row").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    held = dealt.withColumn("_found", F.last(F.when(F.col("_row").isNotNull(), hit), ignorenulls=True).over(window)).where("_probe is not null").join(before, ranges.RANGE)
-    answer = held.select("_probe", F.coalesce("_found", "_carry").alias("_found"))
-    missed = asked.where("_x is null").select("_probe", F.lit(None).cast(answer.schema["_found"].dataType).alias("_found"))
-    every = answer.unionByName(missed)
-    return every.select("_probe.*", *[F.when(F.col("_found").isNotNull(), F.col(f"_found._row.r{i}")).otherwise(F.lit(if_not_found).cast(dtype(table, r))).alias(o) for i, (r, o) in enumerate(zip(returns, out, strict=True))])
+    before = ranges.carried(dealt, [F.max_by(hit, F.when(~F.col("_asked"), F.col("_x"))).alias("_carry")], lambda c: F.last(c, ignorenulls=True))
+    window = Window.partitionBy(ranges.RANGE).orderBy("_x", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    held = dealt.withColumn("_found", F.last(F.when(~F.col("_asked"), hit), ignorenulls=True).over(window)).where("_asked").join(before, ranges.RANGE)
+    answer = held.select(F.col("_x").alias("_y"), F.coalesce("_found", "_carry").alias("_found"))
+    every = asked.join(answer, F.col("_x") == F.col("_y"), "left")
+    found = [F.when(F.col("_found").isNotNull(), F.col(f"_found._row.r{i}")).otherwise(F.lit(if_not_found).cast(dtype(table, r))).alias(o) for i, (r, o) in enumerate(zip(returns, out, strict=True))]
+    return every.select(*[col(c) for c in probes.columns], *found)
 
 
 def xlookup(probes, probe, table, key, returns, *, order_by, if_not_found=None, match_mode=0) -> DataFrame:

@@ -139,7 +139,7 @@ def outliers(df: DataFrame, value: str, method: str = "iqr", threshold: float =
 
     if method not in ("iqr", "zscore", "mad"):
         raise ValueError(f"no method {method!r}")
-    k = threshold or {"iqr": 1.5, "zscore": 3.0, "mad": 3.0}[method]
+    k = threshold if threshold > 0 else {"iqr": 1.5, "zscore": 3.0, "mad": 3.0}[method]
     x = to_double(col(value), dtype(df, value))
     enough = df.agg(F.count(x).alias("_n"))
     if method == "iqr":
@@ -190,7 +190,10 @@ def rank(df: DataFrame, value: str, *, ascending: bool = False, ties: str = "eq"
     elif ties == "dense":
         r = F.col("_dense").cast("double")
     else:
-        r = (F.col("_before") + F.when(x.isNotNull(), F.row_number().over(Window.partitionBy("_probe").orderBy(col(order_by))))).cast("double")
+        # Cells without a number have no place among ties, and don't meet in one partition.
+        r = (F.col("_before") + F.row_number().over(Window.partitionBy("_probe").orderBy(col(order_by)))).cast("double")
+        own = [col(c) for c in df.columns]
+        return held.where("_probe is not null").select(*own, r.alias(out)).unionByName(held.where("_probe is null").select(*own, F.lit(None).cast("double").alias(out)))
     return held.select(*[col(c) for c in df.columns], r.alias(out))
 
 
