@@ -8,7 +8,7 @@ from gridloom import catalog
 DIR = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["running_product_all", "group_by_product_all", "xlookup_text_first_match_all"])
+@pytest.mark.parametrize("name", ["running_product", "group_by_product", "xlookup_text_first_match"])
 def test_all_rows(spark, name):
     duck = duckdb.connect()
     for t in ("events", "lineitem"):
