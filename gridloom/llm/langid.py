@@ -10,7 +10,8 @@ prediction is the largest share of that set.
 Null texts and texts without a letter are ``und`` with score 0 and no languages, and so
 is everything if there is nothing to learn from. Ties go to the language that sorts
 first. Words are runs of ASCII letters, without regard to case, and bytes beyond ASCII.
-Rows are judged one by one, so repeated rows get equal results.
+Rows are judged one by one, so repeated rows get equal results; whole texts count, at any
+length. An empty table gives an empty result, and columns but those asked for are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from .shared import U, bounded, byte_table, mixed, spans, split_words, text_byte
 BINS = 1 << 16
 GRAM = 4
 SMOOTHING = 0.5
-ITERATIONS = 8
+#: A document's shares are found when no one of them moves by more than this; steps at most, should one never settle.
+SETTLED, ITERATIONS = 1e-3, 500
 #: Added to a language's word count before shares are taken.
 PRIOR = 0.05
 #: Distinct languages that a model may have: it is held whole by every worker.
@@ -127,9 +129,18 @@ def infer(bins: np.ndarray, first: np.ndarray, bounds: np.ndarray, model: np.nda
         log -= log.max(axis=1, keepdims=True)
     likelihood = np.exp(log)
     shares = np.full((docs, langs), 1 / langs)
+    active, some, cut = np.arange(docs), likelihood, bounds
     for _ in range(ITERATIONS):
-        expected, _ = _expect(likelihood, bounds, shares)
-        shares = (expected + PRIOR) / (words[:, None] + PRIOR * langs)
+        expected, _ = _expect(some, cut, shares[active])
+        now = (expected + PRIOR) / (words[active][:, None] + PRIOR * langs)
+        moving = np.abs(now - shares[active]).max(axis=1, initial=0) > SETTLED
+        shares[active] = now
+        if not moving.any():
+            break
+        if not moving.all():  # those that have settled are done
+            some = some[np.repeat(moving, np.diff(cut))]
+            active = active[moving]
+            cut = np.append(0, np.cumsum(words[active]))
     order = np.argsort(-shares, axis=1, kind="stable")
     chosen = np.zeros((docs, langs), bool)
     chosen[np.arange(docs), order[:, 0]] = True
