@@ -12,8 +12,11 @@ the vocabulary allows, filled up with PAD), the cumulative lengths of its segmen
 on, the positions at which a position counter starts again, and for each segment the
 doc_id and the place in that document's ids.
 
-Null and empty texts have no tokens and are in no row. Rows with equal doc_id are packed
-each for itself.
+Which pieces share a pool depends on how the scan deals rows to tasks; what is packed does
+not, and rows are full to a pool's rest. Null and empty texts have no tokens and are in no
+row. Rows with equal doc_id are packed each for itself. Pieces of one length are taken in the
+order of the scan (ties). An empty table gives an empty result; columns but doc_id and text
+are not read. A very long document is cut into pieces and fills pools of its own.
 """
 
 from __future__ import annotations

@@ -35,9 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder every executor can reach: spark.checkpoint.dir, or where all run in one process one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors reach")
         found = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -45,30 +47,34 @@ def shared_folder(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there and survives lost executors."""
+    return _written(df, name)[0]
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(discard, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 class Workspace:
     """Tables written on the way to a result, removed when that is written too."""
 
     def __init__(self):
-        self.made: list[DataFrame] = []
+        self.paths: list[str] = []
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        self.made.append(materialize(df, name))
-        return self.made[-1]
+        table, path = _written(df, name)
+        self.paths.append(path)
+        return table
 
     def finish(self, df: DataFrame, name: str) -> DataFrame:
         """Writes the result, then removes all else."""
         out = materialize(df, name)
-        for made in self.made:
-            for path in {f.rpartition("/")[0] for f in made.inputFiles()}:
-                discard(made.sparkSession, path)
-        self.made.clear()
+        for path in self.paths:
+            discard(df.sparkSession, path)
+        self.paths.clear()
         return out
 
 

@@ -170,6 +170,10 @@ def test_fingerprints(spark, docs, corpus, none):
     assert spotsigs.compare_with_edits(none).count() == 0
     one = spotsigs.compare_with_edits(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).first()
     assert one.edited == "abab" and one.near_next == 1.0
+    rows = [(1, "the cat sat"), (1, "the cat sat"), (1, "of dogs"), (None, "x"), (None, None)]
+    got = spotsigs.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string").withColumn("own", F.lit(1))).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in got) == [(0, 0), (0, 1), (1, 7), (1, 11), (1, 11)]
+    assert {r.edited for r in got if r.n_chars == 11} == {"the cathe c", "the ca"}
 
 
 def test_spots(spark):
@@ -244,6 +248,99 @@ def test_quality(spark):
     assert quality.blocks(b"") == [] and b"".join(quality.blocks(b"x" * 5000)) == b"x" * 5000
 
 
+def test_quality_against_brute_force(spark, monkeypatch):
+    """Scores by plain loops over whole texts; repeated rows, ties, clashing names and an empty table."""
+    import numpy as np
+    import zstandard
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{DIR}/labels.parquet"))
+    rows = [(r.doc_id, r.text) for r in docs.where("doc_id < 40").collect()]
+    rows += [(1000, rows[3][1]), (1000, rows[3][1]), (1001, rows[3][1]), (1002, None), (1003, ""), (1004, "lorem ipsum " * 60_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x")).withColumn("difference", F.lit(1))
+    got = {}
+    for r in quality.score(df, model).collect():
+        got.setdefault(r.doc_id, []).append((r.difference, r.score))
+    assert len(got[1000]) == 2 and len({*got[1000], *got[1001], *got[rows[3][0]]}) == 1 and quality.score(df.limit(0), model).count() == 0
+    xs, ys = model["steps"]
+    assert ys == sorted(ys) and xs == sorted(xs)
+    for i, t in rows:
+        raw, sizes = (t or "").encode(), [0, 0]
+        n = -(-len(raw) // quality.BLOCK)
+        for k, content in enumerate((model["good"], model["bad"])):
+            pack = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content), level=quality.LEVEL, write_content_size=False, write_dict_id=False)
+            sizes[k] = sum(len(pack.compress(raw[j * len(raw) // n : (j + 1) * len(raw) // n])) for j in range(n))
+        x = (sizes[1] - sizes[0]) / len(raw) if raw else 0.0
+        step = ys[0] if x <= xs[0] else ys[-1] if x >= xs[-1] else next(a + (b - a) * (x - u) / (v - u) for u, v, a, b in zip(xs, xs[1:], ys, ys[1:]) if u <= x <= v)
+        want = 0.95 * step + 0.05 / (1 + np.exp(-np.clip(model["slope"] * x + model["level"], -500, 500)))
+        assert got[i][0] == (pytest.approx(x), pytest.approx(want)), i
+    monkeypatch.setattr(quality, "BLOCKS", 1)
+    assert 0 <= quality.score(df, quality.fit(docs, spark.read.parquet(f"{DIR}/labels.parquet"))).first().score <= 1
+
+
+def test_language_against_brute_force(spark):
+    """Counts, likelihoods and shares by plain loops over words; repeated rows, ties and clashing names."""
+    import math
+
+    from gridloom.llm import shared
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60")
+    rows = [(r.doc_id, (r.text or "")[:400], r.lang) for r in docs.collect()]
+
+    def grams(text):
+        out = []
+        raw = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b for b in text.encode())
+        for w in re.findall(rb"[a-z\x80-\xff]+", raw):
+            padded = b"   " + w + b" "
+            codes = [sum(padded[i + 3 - k] << (8 * k) for k in range(4)) for i in range(len(w) + 1)]
+            out.append([int(shared.mixed(np.array([c], np.uint64))[0]) % langid.BINS for c in codes])
+        return out
+
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, model = langid.learn(df)
+    assert names == sorted({r[2] for r in rows if r[2]})
+    counts = {n: {} for n in names}
+    for _, t, lang in rows:
+        if lang:
+            for w in grams(t):
+                for g in w:
+                    counts[lang][g] = counts[lang].get(g, 0) + 1
+    total = {n: sum(c.values()) + langid.SMOOTHING * langid.BINS for n, c in counts.items()}
+    again = spark.createDataFrame([(r[0], r[1], "x", 1) for r in rows + rows[:5]], "doc_id long, text string, lang_pred string, score int")
+    got = {}
+    for r in langid.identify(again, names, model).collect():
+        got.setdefault(r.doc_id, []).append((r.lang_pred, r.score))
+    assert all(len(set(v)) == 1 for v in got.values()) and sum(map(len, got.values())) == len(rows) + 5
+    checked = 0
+    for i, t, _ in rows:
+        words = grams(t)
+        if not words or not any(c.isalpha() for c in t):
+            assert got[i][0] == ("und", 0.0)
+            continue
+        logs = [[sum(math.log((counts[n].get(g, 0) + langid.SMOOTHING) / total[n]) for g in w) for n in names] for w in words]
+        like = [[math.exp(x - max(row)) for x in row] for row in logs]
+        shares = [1 / len(names)] * len(names)
+        for _ in range(langid.ITERATIONS):
+            expected = [0.0] * len(names)
+            for row in like:
+                joint = [a * b for a, b in zip(row, shares)]
+                for k, x in enumerate(joint):
+                    expected[k] += x / sum(joint)
+            now = [(e + langid.PRIOR) / (len(words) + langid.PRIOR * len(names)) for e in expected]
+            done = max(abs(a - b) for a, b in zip(now, shares)) <= langid.SETTLED
+            shares = now
+            if done:
+                break
+        best = max(range(len(names)), key=lambda k: shares[k])
+        if sorted(shares)[-1] - sorted(shares)[-2] > 1e-3:
+            assert got[i][0] == (names[best], pytest.approx(min(1.0, shares[best]), abs=2e-3)), i
+            checked += 1
+    assert checked > 30
+    tie = langid.infer(np.array([0, 1], np.int32), np.array([0, 1]), np.array([0, 2]), np.zeros((langid.BINS, 3), np.float32))[0]
+    assert tie[0].argmax() == 0 and np.allclose(tie[0], 1 / 3)
+
+
 LAYOUTS = {
     "messages": ("conv_id long, messages array<struct<role:string,content:string>>, extra int", [(1, [("user", "q"), ("assistant", "a")], 5)]),
     "from and value": ("conv_id long, conversations array<struct<`from`:string,value:string>>", [(1, [("human", "q"), ("gpt", "a")])]),

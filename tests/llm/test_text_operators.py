@@ -106,6 +106,7 @@ def test_bpe_query(spark, docs, corpus, library, tmp_path, none):
     encoded = bpe.encode_documents(docs, bpe.default_path(), decoded=False)
     assert {r.doc_id: r.decoded for r in bpe.decode_documents(encoded, bpe.default_path()).collect()}[6] == "one</w> two</w> three</w>"
     assert bpe.encode_documents(none, bpe.default_path()).count() == 0
+    assert bpe.encode_documents(docs.union(docs), bpe.default_path()).groupBy("doc_id", "n_tokens", "ids", "decoded").count().where("count <> 2").count() == 0
 
 
 def brute_repeats(corpus, k=13):
@@ -248,6 +249,9 @@ def test_packing_is_lossless(spark, docs, corpus, library, tmp_path, none):
     packing.write_matrices(packed, str(tmp_path / "packed"))
     assert spark.read.parquet(str(tmp_path / "packed")).count() == len(rows)
     assert packing.pack_documents(none, bpe.default_path()).count() == 0
+    twice = docs.union(docs.where("doc_id in (6, 7)")).withColumn("ids", docs.source).withColumn("pack_id", docs.source)
+    again = [(r.doc_id, r.doc_offset) for r in packing.read_back(packing.pack_documents(twice, bpe.default_path(), length=256)).collect()]
+    assert len(again) == sum(len(p) * (1 + (i in (6, 7))) for i, p in parts.items()) and set(again) == {(i, a) for i, p in parts.items() for a, _ in p}
 
 
 @pytest.mark.parametrize("chunk_bytes", [1 << 20, 200])
