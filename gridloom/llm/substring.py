@@ -44,6 +44,8 @@ K = 13
 CHUNK_BYTES = BUCKET_BYTES = 4 << 20
 #: Ends between chunks that are looked for; beyond that many chunks each range between two ends is split evenly.
 ENDS = 1 << 14
+#: Words of source texts that are held split, about.
+MOST_WORDS = 1 << 20
 #: Stands for a missing doc_id while chunks are made.
 NO_ID = -(1 << 63)
 
@@ -219,6 +221,7 @@ def same_words(row: np.ndarray, at: np.ndarray, texts: list[bytes], source_row:
     on = (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1) & (source_row[1:] == source_row[:-1]) & (source_at[1:] == source_at[:-1] + 1)
     begins = np.flatnonzero(np.append(True, ~on))
     split: dict[int, list[bytes]] = {}
+    room = MOST_WORDS
     words, last = [], -1
     for begin, end in itertools.pairwise([*begins.tolist(), len(at)]):
         if row[begin] != last:
@@ -227,9 +230,12 @@ def same_words(row: np.ndarray, at: np.ndarray, texts: list[bytes], source_row:
         r = int(source_row[begin])
         source = split.get(r)
         if source is None:
-            if len(split) > 256:
+            source = sources[r].split()
+            if len(source) > room:
                 split.clear()
-            source = split[r] = sources[r].split()
+                room = MOST_WORDS
+            room -= len(source)
+            split[r] = source
         a, b, n = int(at[begin]), int(source_at[begin]), end - begin
         if words[a : a + n + k - 1] == source[b : b + n + k - 1]:
             out[begin:end] = True
@@ -248,15 +254,15 @@ def _answer(k: int):
         order = np.argsort(own.edges, kind="stable")
         edges = own.edges[order]
         unpack = zstandard.ZstdDecompressor().decompress
-        answers = []
-        for runs in asked.column("runs").to_pylist():
-            runs = unpack(runs).split(b"\n")
-            other = Chunk.of(np.arange(len(runs)), runs, k)
-            at = np.minimum(np.searchsorted(edges, other.edges), len(edges) - 1)
-            source = order[at]
-            held = edges[at] == other.edges
-            held[held] = same_words(other.row[held], (other.at - other.bounds[other.row])[held], runs, own.row[source[held]], (own.at - own.bounds[own.row])[source[held]], own.texts, k)
-            answers.append(np.packbits(held).tobytes())
+        asks = [unpack(x).split(b"\n") for x in asked.column("runs").to_pylist()]
+        runs = list(itertools.chain.from_iterable(asks))
+        other = Chunk.of(np.arange(len(runs)), runs, k)
+        at = np.minimum(np.searchsorted(edges, other.edges), len(edges) - 1)
+        source = order[at]
+        held = edges[at] == other.edges
+        held[held] = same_words(other.row[held], (other.at - other.bounds[other.row])[held], runs, own.row[source[held]], (own.at - own.bounds[own.row])[source[held]], own.texts, k)
+        cuts = np.searchsorted(other.row, np.cumsum([0, *map(len, asks)])).tolist()
+        answers = [np.packbits(held[a:b]).tobytes() for a, b in itertools.pairwise(cuts)]
         return pa.Table.from_arrays([asked.column("asker").combine_chunks(), pa.array([key[0].as_py()] * len(answers), pa.int32()), pa.array(answers, pa.binary())], schema=_ANSWERED)
 
     return run
