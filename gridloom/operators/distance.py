@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,20 +60,27 @@ def distance(a: DataFrame, b: DataFrame | None = None, *, id: str, vector: str,
 
     def measure(batches):
         for batch in batches:
-            for ra, rb, ka, kb in zip(batch.column("rows_a").to_pylist(), batch.column("rows_b").to_pylist(), batch.column("block_a").to_pylist(), batch.column("block_b").to_pylist(), strict=True):
-                x, y = (np.array([r["v"] for r in rows], float).reshape(len(rows), -1) for rows in (ra, rb))
-                ia, ib = [r["id"] for r in ra], [r["id"] for r in rb]
+            for ra, rb, ka, kb in zip(batch.column("rows_a"), batch.column("rows_b"), batch.column("block_a").to_pylist(), batch.column("block_b").to_pylist(), strict=True):
+                (ia, x), (ib, y) = _block(ra.values), _block(rb.values)
                 d = block_distances(x, y, metric)
                 if own and ka == kb:
                     np.fill_diagonal(d, 0.0)
-                ta, tb = (batch.schema.field(f"rows_{x}").type.value_type.field("id").type for x in "ab")
-                yield _rows(pa.array(ia, ta), pa.array(ib, tb), d)
+                yield _rows(ia, ib, d)
                 if own and ka != kb:
-                    yield _rows(pa.array(ib, tb), pa.array(ia, ta), d.T)
+                    yield _rows(ib, ia, d.T)
 
     return pairs.mapInArrow(measure, f"id_a {kind}, id_b {kind_b}, distance double")
 
 
+def _block(rows: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
+    """Ids and the matrix of a block's vectors, without an object a number."""
+    ids, vectors = pc.struct_field(rows, "id"), pc.struct_field(rows, "v")
+    sizes = vectors.value_lengths()
+    if sizes.null_count or len(pc.unique(sizes)) > 1:
+        raise ValueError("the vectors differ in dimension")
+    return ids, vectors.flatten().to_numpy().reshape(len(rows), sizes[0].as_py())
+
+
 def _rows(a: pa.Array, b: pa.Array, d: np.ndarray) -> pa.RecordBatch:
     i, j = np.divmod(np.arange(d.size), max(1, len(b)))
     return pa.RecordBatch.from_arrays([a.take(pa.array(i)), b.take(pa.array(j)), pa.array(d.ravel())], names=["id_a", "id_b", "distance"])
