@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.coerce import col, dtype, filled, numeric, to_double
 from ..plans import ranges
 from ..plans.ranges import RANGE
+from .sliding import medians
 
 LARGEST_WINDOW = 1_048_576
 
@@ -96,7 +97,6 @@ MOVING = {
     "count": F.count,
     "min": F.min,
     "max": F.max,
-    "median": lambda x: F.percentile(x, F.lit(0.5)),
     "stdev": F.stddev_samp,
 }
 
@@ -105,8 +105,9 @@ def moving(df: DataFrame, value: str, window: int, op: str, *, order_by: str, mi
     """Adds an aggregate of the numbers in the last ``window`` rows; null where there are fewer than ``min_periods`` (all of the window, if not given).
 
     Without partitions a range is at least as long as the window, and gets the rows that its first windows reach back to from the range before.
+    Medians slide along each series in a worker, which holds two windows' rows; other aggregates are Spark's own.
     """
-    if op not in MOVING:
+    if op not in (*MOVING, "median"):
         raise ValueError(f"no operator {op!r}")
     if not 1 <= window <= LARGEST_WINDOW:
         raise ValueError(f"a window has 1 to {LARGEST_WINDOW} rows, not {window}")
@@ -115,12 +116,14 @@ def moving(df: DataFrame, value: str, window: int, op: str, *, order_by: str, mi
         raise ValueError("min_periods is not between 0 and the window")
     x = numeric(col(value), dtype(df, value))
 
-    def over(frame) -> Column:
-        frame = frame.rowsBetween(-(window - 1), 0)
-        return F.when(F.count(x).over(frame) >= least, MOVING[op](x).over(frame))
+    def added(rows: DataFrame, order) -> DataFrame:
+        if op == "median":
+            return medians(rows, x, order, window, least, out)
+        frame = order.rowsBetween(-(window - 1), 0)
+        return rows.withColumn(out, F.when(F.count(x).over(frame) >= least, MOVING[op](x).over(frame)))
 
     if partition_by:
-        return df.withColumn(out, over(ranges.within([order_by], partition_by)))
+        return added(df, ranges.within([order_by], partition_by))
     dealt = ranges.deal(df, order_by, least=2 * window)
     last = dealt.groupBy(RANGE).agg(F.count("*").alias("_size"))
     turn = Window.orderBy(RANGE)  # one row a range
@@ -130,7 +133,7 @@ def moving(df: DataFrame, value: str, window: int, op: str, *, order_by: str, mi
     ahead = sizes.alias("a").join(sizes.alias("b"), (F.col(f"a.{RANGE}") < F.col(f"b.{RANGE}")) & (F.col("b._upto") - F.col("b._size") - F.col("a._upto") < window - 1)).select(F.col(f"a.{RANGE}").alias(RANGE), F.col(f"b.{RANGE}").alias("_to"), (F.col("b._upto") - F.col("b._size") - F.col("a._upto")).alias("_between"))
     copies = ranked.where(F.col("_back") < window).join(F.broadcast(ahead), RANGE).where(F.col("_back") + F.col("_between") < window).withColumn(RANGE, F.col("_to")).select(*[col(c) for c in df.columns], RANGE, F.lit(True).alias("_ghost"))
     both = dealt.withColumn("_ghost", F.lit(False)).unionByName(copies)
-    return both.withColumn(out, over(ranges.within([order_by]))).where("not _ghost").select(*[col(c) for c in df.columns], out)
+    return added(both, ranges.within([order_by])).where("not _ghost").select(*[col(c) for c in df.columns], out)
 
 
 def outliers(df: DataFrame, value: str, method: str = "iqr", threshold: float = 0.0, *, out: str = "outlier") -> DataFrame:
