@@ -98,17 +98,27 @@ def count_ifs(df: DataFrame, criteria: Criteria) -> DataFrame:
 def exact_percentiles(df: DataFrame, value: Column, probabilities: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """Inclusive percentiles (between neighbours by k(n - 1)) of a number, by ``keys``: columns p0, p1, ...
 
-    Equal values are counted first; the ranks of the counts are cumulative sums, over ranges of values if there are no keys.
+    Equal values are counted first; ranks are cumulative sums of the counts within a group and range of values, so that a
+    group with many different values is several tasks. One row a group and range carries what comes before it. Groups that
+    together have no more numbers than one range holds need no ranges.
     """
-    counts = df.select(*keys, value.alias("_x")).where("_x is not null").groupBy(*keys, "_x").agg(F.count("*").alias("_n"))
-    if keys:
-        total = Window.partitionBy(*keys)
-        ranked = counts.withColumn("_upto", F.sum("_n").over(total.orderBy("_x"))).withColumn("_all", F.sum("_n").over(total))
-    else:
-        dealt = ranges.deal(counts, "_x")
-        base = ranges.carried(dealt, [F.sum("_n").alias("_base")], F.sum)
-        ranked = dealt.withColumn("_upto", F.sum("_n").over(ranges.within(["_x"]))).join(base, ranges.RANGE).withColumn("_upto", F.col("_upto") + F.coalesce("_base", F.lit(0)))
-        ranked = ranked.crossJoin(counts.agg(F.sum("_n").alias("_all")))  # one row
+    rows = df.select(*keys, value.alias("_x")).where("_x is not null")
+    counts = rows.groupBy(*keys, "_x").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*keys)
+    if keys and rows.count() <= ranges.ROWS:
+        ranked = counts.withColumn("_upto", F.sum("_n").over(group.orderBy("_x"))).withColumn("_all", F.sum("_n").over(group))
+        return _percentiles(ranked, probabilities, keys)
+    dealt, at = ranges.deal(counts, "_x", ranges.ROWS if keys else None), [*keys, ranges.RANGE]
+    per = dealt.groupBy(*at).agg(F.sum("_n").alias("_own"))
+    before = F.sum("_own").over(group.orderBy(ranges.RANGE)) - F.col("_own")
+    carry = per.select(*[F.col(c).alias(f"r{c}") for c in at], before.alias("_base"), F.sum("_own").over(group).alias("_all"))
+    upto = F.sum("_n").over(Window.partitionBy(*at).orderBy("_x"))
+    ranked = dealt.withColumn("_upto", upto).join(carry, [F.col(c).eqNullSafe(F.col(f"r{c}")) for c in at]).withColumn("_upto", F.col("_upto") + F.col("_base"))
+    return _percentiles(ranked, probabilities, keys)
+
+
+def _percentiles(ranked: DataFrame, probabilities: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """Percentiles of values _x of which _upto of _all numbers are no greater."""
     out = []
     for i, p in enumerate(probabilities):
         at = F.lit(float(p)) * (F.col("_all") - 1)

@@ -142,6 +142,60 @@ def test_distance(spark):
     assert cosine[3, 3] == 0.0 and cosine[1, 3] == 1.0
     with pytest.raises(ValueError):
         distance.distance(a, id="id", vector="v", metric="none")
+    named = spark.createDataFrame([("x", [None, 3.0]), ("y", [4.0, float("nan")])], "id string, v array<double>")
+    got = {(r.id_a, r.id_b): r.distance for r in distance.distance(a, named, id="id", vector="v", metric="manhattan").collect()}
+    assert len(got) == 6 and got[3, "x"] == 3.0 and got[3, "y"] == 4.0
+    with pytest.raises(Exception, match="dimension"):
+        distance.distance(a.union(spark.createDataFrame([(4, [1.0])], a.schema)), id="id", vector="v").collect()
+
+
+def test_moving_median(spark, monkeypatch):
+    """Against plain loops: blanks, series, several ranges and windows longer than a batch."""
+    import random
+    import statistics
+
+    r = random.Random(3)
+    cells = [(i, r.choice("ab"), None if r.random() < 0.2 else float(r.randrange(50))) for i in range(700)]
+    df = spark.createDataFrame(cells, "i int, k string, v double").repartition(5)
+
+    def want(series, window, least):
+        out = {}
+        for n, (i, _, _) in enumerate(series):
+            frame = [v for _, _, v in series[max(0, n - window + 1) : n + 1] if v is not None]
+            out[i] = statistics.median(frame) if frame and len(frame) >= least else None
+        return out
+
+    monkeypatch.setattr(ranges, "ROWS", 60)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        for window, least in ((1, None), (5, 2), (40, 1), (90, 0), (1000, 1)):
+            got = {x.i: x.moving for x in series.moving(df, "v", window, "median", order_by="i", min_periods=least).collect()}
+            assert got == want(cells, window, window if least is None else least), window
+            got = {x.i: x.moving for x in series.moving(df, "v", window, "median", order_by="i", min_periods=1, partition_by=["k"]).collect()}
+            assert got == {i: v for k in "ab" for i, v in want([c for c in cells if c[1] == k], window, 1).items()}, window
+        assert rows(series.moving(df.limit(0), "v", 3, "median", order_by="i")) == []
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_percentiles_of_groups_over_ranges(spark, monkeypatch):
+    """One group with most rows, a null key and a group without numbers, against NumPy."""
+    import random
+
+    from gridloom.operators.aggregates import exact_percentiles
+
+    r = random.Random(4)
+    cells = [(r.choice(["hot"] * 8 + ["b", None]), float(r.randrange(300)) if r.random() < 0.9 else None) for _ in range(900)] + [("none", None), ("one", 7.0)]
+    df = spark.createDataFrame(cells, "k string, v double")
+    asked = [0.0, 0.25, 0.5, 0.9, 1.0]
+    for held in (ranges.ROWS, 25):
+        monkeypatch.setattr(ranges, "ROWS", held)
+        got = {x.k: list(x)[1:] for x in exact_percentiles(df, F.col("v"), asked, ["k"]).collect()}
+        assert set(got) == {"hot", "b", None, "one"}
+        for k, values in got.items():
+            assert values == pytest.approx(np.quantile([v for o, v in cells if o == k and v is not None], asked).tolist())
+    assert list(exact_percentiles(df, F.col("v"), asked).first()) == pytest.approx(np.quantile([v for _, v in cells if v is not None], asked).tolist())
+    assert exact_percentiles(df.limit(0), F.col("v"), [0.5]).first()[0] is None
 
 
 def test_numbers(spark):
