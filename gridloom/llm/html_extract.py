@@ -321,45 +321,45 @@ def _on_host(run: Run, other: Run | None, at: int) -> tuple | None:
     return other.side(at) if other is not None and other.host == run.host else None
 
 
-def _results(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+def _results(rows: list[tuple], kind: pa.DataType) -> list[pa.Array]:
     ids, urls, texts, beside = zip(*rows) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(beside, kind)], names=["page_id", "url", "text", "neighbour"])
-
-
-def _inner(kind: pa.DataType):
-    """Results of all pages but those at the ends of ranges, a few MB at a time."""
-
-    def run(batches):
-        rows, held = [], 0
-        for before, own, after in _runs(batches):
-            if before is not None and after is not None:
-                for row in own.texts(_on_host(own, before, -1), _on_host(own, after, 0)):
-                    rows.append(row)
-                    held += len(row[2])
-                    if held > PIECE:
-                        yield _results(rows, kind)
-                        rows, held = [], 0
-        yield _results(rows, kind)
-
-    return run
+    return [pa.array(ids, kind), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(beside, kind)]
 
 
+_RESULT = "page_id {0}, url string, text string, neighbour {0}"
 _SIDE = "struct<path:binary,hashes:binary,page_id:{0}>"
-_OUTER = "range int, first boolean, last boolean, host binary, hashes binary, marks binary, lines binary, pages array<struct<page_id:{0},url:string,path:binary>>, low " + _SIDE + ", high " + _SIDE + ", inner_before " + _SIDE + ", inner_after " + _SIDE
+_OUTER = "range:int, first:boolean, last:boolean, host:binary, hashes:binary, marks:binary, lines:binary, pages:array<struct<page_id:{0},url:string,path:binary>>, low:" + _SIDE + ", high:" + _SIDE + ", inner_before:" + _SIDE + ", inner_after:" + _SIDE
+_WALKED = _RESULT + ", outer boolean, run struct<" + _OUTER + ">"
 
 
-def _outer(kind: pa.DataType):
-    """The first and the last run of each range, with what they know of their neighbours inside."""
+def _walk(kind: pa.DataType):
+    """Results of all pages but those of the first and the last run of each range, a few MB at a time, and these runs with what they know of their neighbours inside."""
     side = pa.struct([("path", pa.binary()), ("hashes", pa.binary()), ("page_id", kind)])
     page = pa.struct([("page_id", kind), ("url", pa.string()), ("path", pa.binary())])
+    names = ["range", "first", "last", "host", "hashes", "marks", "lines", "pages", "low", "high", "inner_before", "inner_after"]
+    outer = pa.struct(list(zip(names, [pa.int32(), pa.bool_(), pa.bool_(), *[pa.binary()] * 4, pa.list_(page), *[side] * 4], strict=True)))
     as_side = lambda x: None if x is None else dict(zip(("path", "hashes", "page_id"), x))
 
+    def batch(rows: list[tuple], run: dict | None = None) -> pa.RecordBatch:
+        n = len(rows)
+        return pa.RecordBatch.from_arrays([*_results(rows, kind), pa.array([run is not None] * n, pa.bool_()), pa.array([run] * n, outer)], names=["page_id", "url", "text", "neighbour", "outer", "run"])
+
     def run(batches):
+        rows, held = [], 0
         for before, own, after in _runs(batches):
+            beside = _on_host(own, before, -1), _on_host(own, after, 0)
             if before is None or after is None:
-                row = [own.range, before is None, after is None, own.host, own.hashes, own.marks, own.lines, [dict(zip(("page_id", "url", "path"), p)) for p in own.pages], as_side(own.side(0)), as_side(own.side(-1)), as_side(_on_host(own, before, -1)), as_side(_on_host(own, after, 0))]
-                kinds = [pa.int32(), pa.bool_(), pa.bool_(), *[pa.binary()] * 4, pa.list_(page), *[side] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=["range", "first", "last", "host", "hashes", "marks", "lines", "pages", "low", "high", "inner_before", "inner_after"])
+                pages = [dict(zip(("page_id", "url", "path"), p)) for p in own.pages]
+                known = [own.range, before is None, after is None, own.host, own.hashes, own.marks, own.lines, pages, as_side(own.side(0)), as_side(own.side(-1)), *map(as_side, beside)]
+                yield batch([(None,) * 4], dict(zip(names, known, strict=True)))
+                continue
+            for row in own.texts(*beside):
+                rows.append(row)
+                held += len(row[2])
+                if held > PIECE:
+                    yield batch(rows)
+                    rows, held = [], 0
+        yield batch(rows)
 
     return run
 
@@ -375,7 +375,7 @@ def _settle(kind: pa.DataType):
                 own.pages = [(p["page_id"], p["url"], p["path"]) for p in r["pages"]]
                 before, after = ((x["path"], x["hashes"], x["page_id"]) if x is not None else None for x in (r["before"], r["after"]))
                 rows += own.texts(before, after)
-            yield _results(rows, kind)
+            yield pa.RecordBatch.from_arrays(_results(rows, kind), names=["page_id", "url", "text", "neighbour"])
 
     return run
 
@@ -395,11 +395,11 @@ def extract(pages: DataFrame) -> DataFrame:
     ends = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
 
     parsed = rows.mapInArrow(_parse(ends), T.StructType([rows.schema[0], *T._parse_datatype_string("url string, range int, sort binary, lines binary, marks binary, hashes binary").fields]))
-    # One exchange, walked twice: for the pages inside the ranges, and for those at their ends.
+    # Parsed, shuffled and walked once; what the walk finds is written before the ends of ranges are joined.
     dealt = parsed.repartition(max(ranges, slots(spark)), "range").sortWithinPartitions("range", "sort")
-    result = f"page_id {kind}, url string, text string, neighbour {kind}"
-    inner = dealt.mapInArrow(_inner(arrow), result)
-    outer = materialize(dealt.mapInArrow(_outer(arrow), _OUTER.format(kind)), "page-ends")
+    walked = materialize(dealt.mapInArrow(_walk(arrow), _WALKED.format(kind)), "pages-walked", "zstd")
+    inner = walked.where("not outer").select("page_id", "url", "text", "neighbour")
+    outer = walked.where("outer").select("run.*")
     # Which ranges that have pages lie beside each other: one row of three numbers a range.
     by = Window.orderBy("range")
     beside = outer.select("range").distinct().select("range", F.lag("range").over(by).alias("left"), F.lead("range").over(by).alias("right"))
@@ -410,5 +410,5 @@ def extract(pages: DataFrame) -> DataFrame:
     beyond = lambda side, past: F.when(F.col(f"{side}.hashes") == F.col("hashes"), F.col(past)).otherwise(F.col(side))
     before = F.when(F.col("first"), F.when(F.col("left_host") == F.col("host"), beyond("outer_before", "left_beyond"))).otherwise(F.col("inner_before"))
     after = F.when(F.col("last"), F.when(F.col("right_host") == F.col("host"), beyond("outer_after", "right_beyond"))).otherwise(F.col("inner_after"))
-    settled = joined.select("host", "hashes", "marks", "lines", "pages", before.alias("before"), after.alias("after")).mapInArrow(_settle(arrow), result)
+    settled = joined.select("host", "hashes", "marks", "lines", "pages", before.alias("before"), after.alias("after")).mapInArrow(_settle(arrow), _RESULT.format(kind))
     return inner.union(settled)

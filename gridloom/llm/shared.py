@@ -45,15 +45,15 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there and survives lost executors."""
-    return _written(df, name)[0]
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the lineage ends there and survives lost executors. ``codec`` is Parquet's, the session's if not given."""
+    return _written(df, name, codec)[0]
 
 
-def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def _written(df: DataFrame, name: str, codec: str | None = None) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     atexit.register(discard, spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
