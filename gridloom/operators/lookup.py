@@ -19,6 +19,8 @@ from ..functions.coerce import col, dtype, numeric, to_text
 from ..plans import ranges
 
 _HIT = "_hit"
+#: Keys up to which a floor lookup compares probes with the keys as literals, instead of laying both out.
+FEW = 64
 
 
 def _same_kind(a: T.DataType, b: T.DataType) -> bool:
@@ -48,26 +50,50 @@ def lookup_exact(probes: DataFrame, probe: str, table: DataFrame, key: str, retu
     return joined.select(*[col(c) for c in probes.columns], *found)
 
 
+def _floor_of(value: Column, ends: list, kind: T.DataType) -> Column:
+    """The largest of the sorted ``ends`` that is not above ``value``, found by halves; null if there is none."""
+
+    def within(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(ends[low - 1] if low else None).cast(kind)
+        middle = (low + high) // 2
+        return F.when(value < F.lit(ends[middle]), within(low, middle)).otherwise(within(middle + 1, high))
+
+    return F.when(value.isNotNull(), within(0, len(ends)))
+
+
+def _laid_out(keys: DataFrame, asked: DataFrame) -> DataFrame:
+    """Each different probe as _y, with the key and row found for it."""
+    both = keys.withColumn("_asked", F.lit(False)).unionByName(asked.where("_x is not null").select("_x", F.lit(None).cast(keys.schema["_row"].dataType).alias("_row"), F.lit(True).alias("_asked")).distinct())
+    dealt = ranges.deal(both, "_x")
+    hit = F.struct("_x", "_row")
+    before = ranges.carried(dealt, [F.max_by(hit, F.when(~F.col("_asked"), F.col("_x"))).alias("_carry")], lambda c: F.last(c, ignorenulls=True))
+    window = Window.partitionBy(ranges.RANGE).orderBy("_x", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    held = dealt.withColumn("_found", F.last(F.when(~F.col("_asked"), hit), ignorenulls=True).over(window)).where("_asked").join(before, ranges.RANGE)
+    return held.select(F.col("_x").alias("_y"), F.coalesce("_found", "_carry").alias("_found"))
+
+
 def lookup_floor(probes: DataFrame, probe: str, table: DataFrame, key: str, returns: Sequence[str], *, order_by: str, if_not_found=None) -> DataFrame:
     """The probes with the ``returns`` of the largest numeric key not above the probe (the last of equal keys); text and blank probes miss.
 
     Both sides are laid out by value in ranges, each different probe once; within a range the last key before a probe is a running
     maximum, and what comes from the ranges before is one row a range. The answers are joined back to the probes. No cross join, no
-    single task, and equal probes don't meet in one range.
+    single task, and equal probes don't meet in one range. A table of FEW rows or fewer isn't laid out: there each probe is
+    compared with the keys as literals, and the key found is joined.
     """
     out = [r if r not in probes.columns else f"{r}_found" for r in returns]
     number = lambda df, name: numeric(col(name), dtype(df, name), booleans=True)
     row = F.struct(*[col(r).alias(f"r{i}") for i, r in enumerate(returns)])
     keys = table.select(number(table, key).alias("_x"), row.alias("_row"), col(order_by).alias("_o")).where("_x is not null").groupBy("_x").agg(F.max_by("_row", "_o").alias("_row"))
     asked = probes.withColumn("_x", number(probes, probe))
-    both = keys.withColumn("_asked", F.lit(False)).unionByName(asked.where("_x is not null").select("_x", F.lit(None).cast(keys.schema["_row"].dataType).alias("_row"), F.lit(True).alias("_asked")).distinct())
-    dealt = ranges.deal(both, "_x")
-    hit = F.struct("_x", "_row")
-    before = ranges.carried(dealt, [F.max_by(hit, F.when(~F.col("_asked"), F.col("_x"))).alias("_carry")], lambda c: F.last(c, ignorenulls=True))
-    window = Window.partitionBy(ranges.RANGE).orderBy("_x", "_asked").rowsBetween(Window.unboundedPreceding, 0)
-    held = dealt.withColumn("_found", F.last(F.when(~F.col("_asked"), hit), ignorenulls=True).over(window)).where("_asked").join(before, ranges.RANGE)
-    answer = held.select(F.col("_x").alias("_y"), F.coalesce("_found", "_carry").alias("_found"))
-    every = asked.join(answer, F.col("_x") == F.col("_y"), "left")
+    kind = keys.schema["_x"].dataType
+    ends = [r[0] for r in table.select(number(table, key).alias("_x")).where("_x is not null").limit(FEW + 1).collect()]
+    if len(ends) <= FEW:
+        asked = asked.withColumn("_y", _floor_of(F.col("_x"), sorted(ends), kind))
+        answer = keys.select(F.col("_x").alias("_y"), F.struct("_x", "_row").alias("_found"))
+    else:
+        asked, answer = asked.withColumn("_y", F.col("_x")), _laid_out(keys, asked)
+    every = asked.join(answer, "_y", "left")
     found = [F.when(F.col("_found").isNotNull(), F.col(f"_found._row.r{i}")).otherwise(F.lit(if_not_found).cast(dtype(table, r))).alias(o) for i, (r, o) in enumerate(zip(returns, out, strict=True))]
     return every.select(*[col(c) for c in probes.columns], *found)
 

@@ -30,13 +30,23 @@ def test_exact_lookup(spark):
         lookup.vlookup(probes, "p", keys, [9], order_by="o")
 
 
-def test_floor_lookup(spark):
+@pytest.mark.parametrize("few", [0, 2, lookup.FEW])
+def test_floor_lookup(spark, monkeypatch, few):
+    """Alike whether the table is laid out or its keys are literals."""
+    monkeypatch.setattr(lookup, "FEW", few)
     keys = spark.createDataFrame([(1, 10.0, "a"), (2, 10.0, "b"), (3, 10.0, "c"), (4, 20.0, None)], "o int, k double, r string")
     probes = spark.createDataFrame([(1, 10.0), (2, 9.9), (3, 15.0), (4, 25.0), (5, None), (6, 10.0)], "id int, p double")
     got = rows(lookup.xlookup(probes, "p", keys, "k", ["r"], order_by="o", match_mode=-1, if_not_found="?").select("id", "r"), "id")
     assert got == [(1, "c"), (2, "?"), (3, "c"), (4, None), (5, "?"), (6, "c")]
     empty = keys.limit(0)
     assert {r[1] for r in rows(lookup.lookup_floor(probes, "p", empty, "k", ["r"], order_by="o").select("id", "r"))} == {None}
+    # Cells that are no finite numbers are blanks, as keys and as probes.
+    nan, odd = float("nan"), [7.0, 3.0, -4.0, 5.0, 11.0, 0.0]
+    many = spark.createDataFrame([(i, k, str(k)) for i, k in enumerate([*odd, nan, None, float("-inf")])], "o int, k double, r string")
+    asked = [-9.0, -4.0, -1.0, -0.0, 0.5, 3.0, 4.9, 5.0, 6.0, 10.9, 11.0, 1e300, nan]
+    got = rows(lookup.lookup_floor(spark.createDataFrame(list(enumerate(asked)), "id int, p double"), "p", many, "k", ["r"], order_by="o").select("id", "r"), "id")
+    below = [max((k for k in odd if k <= p), default=None) for p in asked]
+    assert got == [(i, None if k is None else str(k)) for i, k in enumerate(below)]
 
 
 def test_ranges_cover_all(spark):
