@@ -19,7 +19,7 @@ from ..functions.coerce import col, dtype, numeric, to_text
 from ..plans import ranges
 
 _HIT = "_hit"
-#: Keys up to which a floor lookup compares probes with the keys as literals, instead of laying both out.
+#: Rows of a table up to which a floor lookup compares probes with the keys as literals, instead of laying both out.
 FEW = 64
 
 
