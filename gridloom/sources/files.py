@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -43,7 +44,7 @@ def _line_facts(spark: SparkSession, path) -> tuple[str | None, bool, int]:
 
 
 def read_csv(spark: SparkSession, path, *, delimiter: str = ",", encoding: str = "UTF-8", header: bool = False, coerce_numeric: bool = True, schema: T.StructType | str | None = None, strict_quotes: bool = True, multiline: bool | None = None, with_file: bool = False) -> DataFrame:
-    """Delimited text with quotes doubled inside quotes and cells over several lines (line ends inside quotes are read as LF); short rows are filled with blanks, a blank line is a row of blanks.
+    """Delimited text with quotes doubled inside quotes and cells over several lines (line ends inside quotes are read as LF); short rows are filled with blanks, a blank line is a row of blanks. Quotes with nothing between are an empty text, a cell without quotes and text is null.
 
     One pass over the lines finds a file that ends inside quotes (which raises) and whether any cell goes on over lines: only then
     a file can't be split among tasks (and blank lines are skipped). ``strict_quotes=False`` with a given ``multiline`` saves it. With ``coerce_numeric`` columns of
@@ -58,7 +59,9 @@ def read_csv(spark: SparkSession, path, *, delimiter: str = ",", encoding: str =
             raise ValueError(f"{open_} ends inside quotes")
         multiline = over if multiline is None else multiline
     multiline = True if multiline is None else multiline
-    reader = spark.read.options(sep=delimiter, encoding=encoding, header=header, multiLine=multiline, quote='"', escape='"', mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    # Spark makes cells null that equal nullValue, those of an empty text too if it is empty: it is a value that no file has.
+    # Quotes inside quotes are only doubled; by Spark's default NUL would escape there, and be lost.
+    reader = spark.read.options(sep=delimiter, encoding=encoding, header=header, multiLine=multiline, quote='"', escape='"', charToEscapeQuoteEscaping='"', nullValue=uuid.uuid4().hex, emptyValue="", mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     df = (reader.schema(schema) if schema is not None else reader.option("inferSchema", False)).csv(path)
     names = df.columns
     if with_file:
@@ -73,11 +76,11 @@ def read_csv(spark: SparkSession, path, *, delimiter: str = ",", encoding: str =
 
 
 def write_csv(df: DataFrame, path: str, *, delimiter: str = ",", encoding: str = "UTF-8", header: bool = False, single_file: bool = False) -> int:
-    """Writes with quotes only where needed and CR LF line ends; gives the number of rows. ``single_file`` puts all rows into one part file."""
-    text = as_strings(df)
+    """Writes with quotes only where needed (an empty text needs them, to be told from null) and CR LF line ends; gives the number of rows. ``single_file`` puts all rows into one part file."""
+    text = df.select(*[to_text(col(c), dtype(df, c)).alias(c) for c in df.columns])
     observed = _Counted()
     rows = text.observe(observed.of, F.count("*").alias("n"))
-    (rows.coalesce(1) if single_file else rows).write.mode("overwrite").options(sep=delimiter, encoding=encoding, header=header, quote='"', escape='"', lineSep="\r\n", emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    (rows.coalesce(1) if single_file else rows).write.mode("overwrite").options(sep=delimiter, encoding=encoding, header=header, quote='"', escape='"', lineSep="\r\n", emptyValue='""', nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return observed.of.get["n"]
 
 

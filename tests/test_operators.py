@@ -251,6 +251,20 @@ def test_csv(spark, tmp_path):
     assert files.read_csv(spark, str(tmp_path / "out"), header=True).count() == 3
 
 
+def test_csv_empty_text(spark, tmp_path):
+    """Empty text, null and NUL inside quotes come back as they were, with and without cells over several lines."""
+    cells = [("", "x"), (None, "y"), ("x", ""), ("", None), (None, None), ('a\0"b",\0', '"'), ('"', '""'), (" ", "")]
+    for name, more in (("one", [("x", "plain")]), ("over", [("two\nlines", '\n"\0\r\n"')])):
+        want = cells + more
+        df = spark.createDataFrame(want, "a string, b string").repartition(2)
+        assert files.write_csv(df, str(tmp_path / name), header=True) == len(want)
+        got = [tuple(r) for r in files.read_csv(spark, str(tmp_path / name), header=True).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+    (tmp_path / "by_hand.csv").write_text('n,t\n1,\n"",""\n3\n')
+    got = [tuple(r) for r in files.read_csv(spark, str(tmp_path / "by_hand.csv"), header=True).collect()]
+    assert got == [(1.0, None), (None, ""), (3.0, None)]
+
+
 def test_json_files(spark, tmp_path):
     (tmp_path / "a.ndjson").write_text('{"z": 1, "a": "x"}\n\n{"m": true}\n')
     got = files.read_ndjson(spark, str(tmp_path / "a.ndjson"))
