@@ -150,7 +150,7 @@ _GROUP = {
 for _op, _sql in _GROUP.items():
 
     def _run(spark, sf_dir, op=_op):
-        return rounded(A.group_by(events(spark, sf_dir), ["kind"], "val", op, order_by="event_id"), 2 if op.startswith("var") else 4)
+        return rounded(A.group_by(events(spark, sf_dir), ["kind"], "val", op, order_by="event_id", zeros=True), 2 if op.startswith("var") else 4)
 
     query(f"select arg_min(kind, event_id) as kind, min(event_id) as first_seen, {_sql} as result from {EVENTS} group by upper(coalesce(kind, '')) order by 2", f"group_by_{_op}")(_run)
 
