@@ -22,7 +22,7 @@ def test_all_rows(spark, name):
     assert sorted(tuple(r[i] for i in at) for r in df.collect()) == sorted(want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["group_by_geomean"])
+@pytest.mark.parametrize("name", ["group_by_geomean", "group_by_harmean"])
 def test_zeros(spark, tmp_path, name):
     """Groups with a zero among their numbers, with none, and with no number."""
     rows = ", ".join(f"({i}, '{kind}', {value}::double)" for i, kind, value in [(1, "view", 0), (2, "click", 4), (3, "view", 3), (4, "click", 9), (5, "error", 0), (7, "signup", 5), (8, "click", 2), (9, "error", 0)])
