@@ -8,7 +8,7 @@ import pytest
 from gridloom import catalog
 from gridloom.operators import distance
 
-METRICS = ["chebyshev", "cosine", "euclidean"]
+METRICS = ["chebyshev", "cosine", "euclidean", "manhattan"]
 
 
 @pytest.mark.parametrize("metric", METRICS)
