@@ -39,3 +39,15 @@ def test_block_in_two_orders(metric):
     want = distance.block_distances(v, v, metric)
     assert len(got) == 1600 and all(abs(d - (want[i, j] if i != j else 0)) < 1e-12 for (i, j), d in got.items())
     assert all((d == 0) == (i == j) for (i, j), d in got.items())
+
+
+def test_rounded_as_sql():
+    """Numbers next to the middle of two results, where Spark's round, which goes by the decimal digits, differs from SQL's."""
+    ties = (np.random.default_rng(5).integers(-4_000_000, 4_000_000, 20_000) + 0.5) / 1e6
+    d = np.concatenate([ties, np.nextafter(ties, 9), np.nextafter(ties, -9), [0.0, -2e-16, 0.49999999999999994e-6, 1e300, np.inf]])
+    duck = duckdb.connect()
+    duck.register("numbers", pa.table({"d": d}))
+    want = duck.execute("select round(d, 6) as d from numbers").fetchnumpy()["d"]
+    got = distance._round(d, 6)
+    assert np.array_equal(got, want) and not np.signbit(got[got == 0]).any()
+    assert np.isnan(distance._round(np.array([np.nan]), 6)).all()
