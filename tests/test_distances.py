@@ -41,6 +41,16 @@ def test_block_in_two_orders(metric):
     assert all((d == 0) == (i == j) for (i, j), d in got.items())
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_entries_in_order(metric):
+    """Entries are added from the first to the last, as SQL does, so that results have the same last bits."""
+    x, y = np.random.default_rng(4).normal(size=(2, 50, 64))
+    away, want = np.abs(x[:, None] - y[None]), np.zeros((50, 50))
+    for i in range(64):
+        want = want + (away[..., i] ** 2 if metric == "euclidean" else away[..., i])
+    assert np.array_equal(distance.block_distances(x, y, metric), np.sqrt(want) if metric == "euclidean" else want)
+
+
 def test_rounded_as_sql():
     """Numbers next to the middle of two results, where Spark's round, which goes by the decimal digits, differs from SQL's."""
     ties = (np.random.default_rng(5).integers(-4_000_000, 4_000_000, 20_000) + 0.5) / 1e6
