@@ -61,3 +61,21 @@ def test_rounded_as_sql():
     got = distance._round(d, 6)
     assert np.array_equal(got, want) and not np.signbit(got[got == 0]).any()
     assert np.isnan(distance._round(np.array([np.nan]), 6)).all()
+
+
+def test_ties_as_sql(spark, tmp_path):
+    """Distances whose seventh digit is a 5 and the last: rows equal SQL's exactly."""
+    ties = (np.random.default_rng(6).integers(1_000_000, 4_000_000, 99) + 0.5) / 1e6
+    vectors = np.zeros((100, 64), "float32")
+    left = ties.copy()
+    for i in range(3):  # three floats hold a double, the first cut off and not rounded
+        bits = np.floor(left * 2.0 ** (20 * (i + 1))) / 2.0 ** (20 * (i + 1)) if i < 2 else left
+        vectors[1:, i], left = bits, left - bits
+    assert np.array_equal(vectors[1:].astype("float64").sum(1), ties)
+    duck = duckdb.connect()
+    duck.register("made", pa.table({"vec_id": np.arange(100), "embedding": list(vectors)}))
+    duck.execute(f"copy made to '{tmp_path}/embeddings.parquet' (format parquet)")
+    duck.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    want = duck.execute(catalog.oracles()["distance_manhattan"]).fetchall()
+    got = [tuple(r) for r in catalog.queries()["distance_manhattan"](spark, str(tmp_path)).collect()]
+    assert len(got) == 10_000 and sorted(got) == sorted(want)
